@@ -6,11 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kronopanel.llm.leakage import leaked_items
+from kronopanel.llm.matching import match_blocks
 from kronopanel.llm.packing import pack_documents
 from kronopanel.llm.reading_level import fit_levels, reading_levels
 from kronopanel.session import table
 
 
+def _matches(spark: SparkSession, root: str) -> DataFrame:
+    return match_blocks(table(spark, root, "raw_blocks"), table(spark, root, "oktmo_reference"), table(spark, root, "consumption"))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return _matches(spark, root).select("block_id", "territory_id")
+
+
+def p3_matches(spark: SparkSession, root: str) -> DataFrame:
+    """Every matched block with its territory and the confidence of the match."""
+    return _matches(spark, root)
+
+
 def p6_sequences(spark: SparkSession, root: str) -> DataFrame:
     """Every document's place in the training sequences."""
     return pack_documents(table(spark, root, "documents"))
@@ -51,6 +65,8 @@ def p8_level_profile(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_matches": p3_matches,
     "p6_sequences": p6_sequences,
     "p6_fill_profile": p6_fill_profile,
     "p7_found": p7_found,
