@@ -55,7 +55,7 @@ def series_blocks(raw: DataFrame, order: str, keys: list[str], period: str, shar
     so rows are cut into shards by order, block starts are counted per shard, and each shard adds the
     number of starts before it.
     """
-    shard = shard if shard is not None else F.floor(F.col(order) / 4096)
+    shard = shard if shard is not None else F.floor(F.col(order) / (1 << 18))
     r = raw.withColumn("shard", shard)
     tails = r.groupBy("shard").agg(F.max_by(F.struct(*keys, period), order).alias("prev"), F.max(order).alias("last"))
     link = tails.select((F.lead("shard").over(Window.orderBy("shard"))).alias("shard"), "prev")
