@@ -28,6 +28,7 @@ from kronopanel.llm.codepoints import Words, slices
 from kronopanel.llm.latent import randomized_svd
 
 WINDOW = 24
+FRAGMENT = 8  # fewest words of a sentence that count as its beginning or end
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _SLICE = 300_000
 
@@ -75,7 +76,8 @@ class Passages:
                 loc = np.searchsorted(terms, s)
                 weight[loc, j] = self.idf[s]
                 local.append(loc)
-            self.checks.append((terms, weight, local, weight.sum(0)))
+            pairs = np.unique(np.concatenate([s[:-1] * (len(terms) + 1) + s[1:] for s in local])) if local else np.zeros(0, np.int64)
+            self.checks.append((terms, weight, local, weight.sum(0), pairs, [fragments(s) for s in local]))
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -94,38 +96,67 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _held(passages: Passages, k: int, words: np.ndarray, min_order: float, min_weight: float, least: float) -> float:
-    """Share of the words of passage ``k`` in sentences that recur in ``words`` (vocabulary indices).
+    """Share of passage ``k`` that recurs in ``words`` (vocabulary indices): sentences, and cut ones beside them.
 
-    0 if that share cannot reach ``least``: the words of too few sentences occur at all.
+    0 if that share cannot reach ``least``: too few of its words, or of its pairs of neighbours, occur at all.
     """
-    terms, weight, local, total = passages.checks[k]
+    terms, weight, local, total, pairs, runs = passages.checks[k]
     all_words = sum(len(s) for s in local)
     if not all_words:
         return 0.0
     loc = np.searchsorted(terms, words)
     loc = np.where(terms[np.minimum(loc, len(terms) - 1)] == words, loc, len(terms))
+    # half a passage with every tenth word changed keeps four fifths of the pairs of neighbouring words it holds
+    kept = np.isin(pairs, loc[:-1] * (len(terms) + 1) + loc[1:]).mean() if len(loc) > 1 else 0.0
+    if kept < 0.8 * least:
+        return 0.0
     present = np.zeros(len(terms) + 1)
     present[loc] = 1
-    possible = present @ weight >= min_weight * total
-    if sum(len(s) for s, ok in zip(local, possible) if ok) < least * all_words:
+    if (present @ weight).sum() < least * total.sum():
         return 0.0
     run = np.zeros((len(loc) + 1, len(local)))
     np.cumsum(weight[loc], axis=0, out=run[1:])
-    held = 0
-    for j in np.flatnonzero(possible):
-        s = local[j]
+    held, cut = 0, []
+    for j, s in enumerate(local):
         span = min(len(loc), len(s) + len(s) // 2 + 4)
         sums = run[span:, j] - run[: len(run) - span, j]
         best = int(np.argmax(sums))
-        if sums[best] < min_weight * total[j]:
-            continue
         part = loc[max(0, best - span // 3) : best + span + span // 3]
-        shared = weight[np.unique(part), j].sum()
+        shared = weight[np.unique(part), j].sum() if sums[best] >= min_weight * total[j] else 0.0
         if shared >= min_weight * total[j] and common_subsequence(s, part) >= min_order * len(s):
             held += len(s)
+        else:
+            cut.append(j)
+    if held < 0.5 * all_words and (held > 0.1 * all_words or kept > 0.4):  # the passage may begin or end within a sentence
+        there = fragments(loc)
+        for j in cut:
+            size, end = longest_run(runs[j], there)
+            if size and weight[np.unique(local[j][end - size : end]), j].sum() >= total[j] / 4:
+                held += size
     return held / all_words
 
 
+def fragments(words: np.ndarray) -> np.ndarray:
+    """Codes of all runs of FRAGMENT words."""
+    n = len(words) - FRAGMENT + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    code, w = np.zeros(n, np.uint64), words.astype(np.uint64)
+    for i in range(FRAGMENT):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n]
+    return code
+
+
+def longest_run(own: np.ndarray, there: np.ndarray) -> tuple[int, int]:
+    """Of a sentence's fragments, the longest series that a text holds: its words, and where it ends."""
+    edge = np.diff(np.concatenate(([0], np.isin(own, there).view(np.int8), [0])))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(first):
+        return 0, 0
+    k = int(np.argmax(last - first))
+    return int(last[k] - first[k]) + FRAGMENT - 1, int(last[k]) + FRAGMENT - 1
+
+
 def _has_answer(answer: np.ndarray, codes: np.ndarray) -> bool:
     if not len(answer):
         return False
