@@ -107,7 +107,9 @@ def _held(passages: Passages, k: int, words: np.ndarray, min_order: float, min_w
     loc = np.searchsorted(terms, words)
     loc = np.where(terms[np.minimum(loc, len(terms) - 1)] == words, loc, len(terms))
     # half a passage with every tenth word changed keeps four fifths of the pairs of neighbouring words it holds
-    kept = np.isin(pairs, loc[:-1] * (len(terms) + 1) + loc[1:]).mean() if len(loc) > 1 else 0.0
+    seen = np.zeros((len(terms) + 1) ** 2, bool)
+    seen[loc[:-1] * (len(terms) + 1) + loc[1:]] = True
+    kept = seen[pairs].mean() if len(pairs) else 1.0
     if kept < 0.8 * least:
         return 0.0
     present = np.zeros(len(terms) + 1)
@@ -128,7 +130,7 @@ def _held(passages: Passages, k: int, words: np.ndarray, min_order: float, min_w
         else:
             cut.append(j)
     if held < 0.5 * all_words and (held > 0.1 * all_words or kept > 0.4):  # the passage may begin or end within a sentence
-        there = fragments(loc)
+        there = np.sort(fragments(loc))
         for j in cut:
             size, end = longest_run(runs[j], there)
             if size and weight[np.unique(local[j][end - size : end]), j].sum() >= total[j] / 4:
@@ -148,8 +150,11 @@ def fragments(words: np.ndarray) -> np.ndarray:
 
 
 def longest_run(own: np.ndarray, there: np.ndarray) -> tuple[int, int]:
-    """Of a sentence's fragments, the longest series that a text holds: its words, and where it ends."""
-    edge = np.diff(np.concatenate(([0], np.isin(own, there).view(np.int8), [0])))
+    """Of a sentence's fragments, the longest series that a text holds (sorted): its words, and where it ends."""
+    if not len(own) or not len(there):
+        return 0, 0
+    held = there[np.minimum(np.searchsorted(there, own), len(there) - 1)] == own
+    edge = np.diff(np.concatenate(([0], held.view(np.int8), [0])))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(first):
         return 0, 0
