@@ -9,6 +9,7 @@ from kronopanel.operators.asof_attributes import attributes_as_of
 from kronopanel.operators.history import history_from_acts
 from kronopanel.operators.regular_grid import regular_grid
 from kronopanel.operators.table_diff import diff_copies
+from kronopanel.plans.inputs import plain_nan
 from kronopanel.session import table
 
 OOF_KEY = ["unique_id", "ds", "fold", "model"]
@@ -80,8 +81,8 @@ ch AS (
 )
 """
 _P2 = """
-WITH o AS (SELECT DISTINCT unique_id, ds, fold, model, horizon, nullif(y, 'nan'::DOUBLE) AS y, nullif(y_hat, 'nan'::DOUBLE) AS y_hat FROM oof_old),
-n AS (SELECT DISTINCT unique_id, ds, fold, model, horizon, nullif(y, 'nan'::DOUBLE) AS y, nullif(y_hat, 'nan'::DOUBLE) AS y_hat FROM oof_new),
+WITH o AS (SELECT DISTINCT unique_id, ds, fold, model, horizon, CASE WHEN isnan(y) THEN NULL ELSE y END AS y, CASE WHEN isnan(y_hat) THEN NULL ELSE y_hat END AS y_hat FROM oof_old),
+n AS (SELECT DISTINCT unique_id, ds, fold, model, horizon, CASE WHEN isnan(y) THEN NULL ELSE y END AS y, CASE WHEN isnan(y_hat) THEN NULL ELSE y_hat END AS y_hat FROM oof_new),
 j AS (
   SELECT coalesce(o.unique_id, n.unique_id) AS unique_id, coalesce(o.ds, n.ds) AS ds, coalesce(o.fold, n.fold) AS fold, coalesce(o.model, n.model) AS model,
          o.fold IS NULL AS no_old, n.fold IS NULL AS no_new,
@@ -127,3 +128,4 @@ WITH r AS (
 SELECT series_key, strftime(p, '%Y-%m-%d') AS period_start FROM grid ANTI JOIN seen USING (series_key, p)
 """,
 }
+ORACLE = {name: plain_nan(sql) for name, sql in ORACLE.items()}
