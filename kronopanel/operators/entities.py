@@ -101,6 +101,21 @@ def match_unique_code(names: DataFrame, reference: DataFrame) -> DataFrame:
     return names.join(one, ["name", "region"], "left")
 
 
+#: Words and abbreviations of territory kinds, which are no part of a name.
+_KIND_WORDS = (
+    r"(?U)\b(?:муниципальн(?:ый|ого|ое|ая)|внутригородск(?:ой|ого|ое|ая)|городск(?:ой|ого|ое|ая)|района?|округа?|город-курорт|города?|территори[яи]|федерального|значения|образование|"
+    r"национальный|улус|кожуун|аймак|поселок городского типа|рабочий поселок|поселок|поселение|сельское|зато|м\W{0,2}р-н|р-н|м\W{0,2}о|г\W{0,2}о|вн|тер|г)\b\.?"
+)
+
+
+def name_root(name: Column) -> Column:
+    """A territory's name without kind words, brackets and marks; Latin letters drawn like Cyrillic ones become those."""
+    low = F.translate(F.replace(F.lower(name), F.lit("ё"), F.lit("е")), "abcehkmoptxy", "авсенкмортху")
+    bare = F.regexp_replace(F.regexp_replace(low, r"(?U)\s+", " "), r"\([^)]*\)", " ")
+    words = F.regexp_replace(F.regexp_replace(bare, _KIND_WORDS, " "), "[^0-9a-zа-я-]+", " ")
+    return F.regexp_replace(words, "^[ -]+|[ -]+$", "")
+
+
 def candidate_regions(names: DataFrame, reference: DataFrame) -> DataFrame:
     """Regions that know a name, by exact root, else by its stem."""
     stem = lambda c: F.regexp_replace(c, "(ский|цкий|ской|цкой|ый|ой|ий)$", "")
