@@ -58,9 +58,13 @@ def edges(spark: SparkSession, root: str) -> DataFrame:
 
 
 def national(spark: SparkSession, root: str) -> DataFrame:
-    """National readings by month, of the notations that begin with year and month."""
-    n = table(spark, root, "national_series").where(F.col("period").rlike(r"^\d{4}-\d{2}") & F.col("value").isNotNull() & ~F.isnan("value"))
-    return n.groupBy(F.col("series_key").alias("unique_id"), "slug", F.trunc(flexible_date(F.substring("period", 1, 7)), "MM").alias("ds")).agg(F.avg("value").alias("y"))
+    """National readings by month, whatever the notation of their period; a quarter stands for its first month.
+
+    The SQL twins (``NATIONAL_SQL``) still read the notations that begin with year and month only, and so differ.
+    """
+    n = table(spark, root, "national_series").where(F.col("value").isNotNull() & ~F.isnan("value"))
+    n = n.withColumn("ds", F.trunc(flexible_date(F.col("period")), "MM")).where("ds is not null")
+    return n.groupBy(F.col("series_key").alias("unique_id"), "slug", "ds").agg(F.avg("value").alias("y"))
 
 
 def news(spark: SparkSession, root: str) -> DataFrame:

@@ -1,11 +1,10 @@
 """Queries read whole tables: nothing is left out by its notation, name or length."""
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from kronopanel.operators import entities as E
-from kronopanel.plans import entity_queries
+from kronopanel.plans import entity_queries, panel_queries
+from kronopanel.plans.inputs import national
 
 
 def test_root_of_every_name(spark):
@@ -24,3 +23,13 @@ def test_candidate_regions_reads_names_of_any_form(spark, tmp_path):
     spark.createDataFrame([(m,) for m in raw], "mo string").write.parquet(f"{tmp_path}/raw_blocks.parquet")
     got = {r.root: (r.n_regions, r.source) for r in entity_queries.candidate_regions(spark, str(tmp_path)).collect()}
     assert got == {"заречный": (2, "exact"), "дронобшлеово": (1, "exact"), "кунгурский": (1, "exact"), "кунгур": (1, "stem"), "нигде": (0, "none"), "": (0, "none")}
+
+
+def test_national_months_of_every_notation(spark, tmp_path):
+    periods = ["2024-01", "2024-02-10", "2024-03-31T00:00:00", "15.04.2024", "2024/05/02", "2024-Q3", "05.2025", "never"]
+    rows = [("a", "wages-growth", p, float(i + 1)) for i, p in enumerate(periods)] + [("b", "wages-growth", "01.06.2024", 9.0), ("a", "wages-growth", "20.01.2024", 3.0), ("a", "wages-growth", "21.01.2024", float("nan"))]
+    spark.createDataFrame(rows, "series_key string, slug string, period string, value double").write.parquet(f"{tmp_path}/national_series.parquet")
+    got = {(r.unique_id, r.ds.isoformat()[:7]): r.y for r in national(spark, str(tmp_path)).collect()}
+    assert got == {("a", "2024-01"): 2.0, ("a", "2024-02"): 2.0, ("a", "2024-03"): 3.0, ("a", "2024-04"): 4.0, ("a", "2024-05"): 5.0, ("a", "2024-07"): 6.0, ("a", "2025-05"): 7.0, ("b", "2024-06"): 9.0}
+    mom = {(r.unique_id, r.ds.month): r.mom for r in panel_queries.growth_mom_yoy(spark, str(tmp_path)).collect() if r.ds.year == 2024}
+    assert mom["a", 4] == 0.3333 and mom["a", 5] == 0.25
