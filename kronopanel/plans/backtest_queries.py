@@ -232,7 +232,8 @@ def pivot_predictions(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"WITH {OOF_SQL} SELECT unique_id, ds, fold, model, what, amount FROM (SELECT unique_id, ds, fold, model, round(y, 4) AS y, round(y_hat, 4) AS y_hat FROM oof WHERE horizon = 1) UNPIVOT (amount FOR what IN (y, y_hat))")
 def unpivot_forecasts(spark: SparkSession, root: str) -> DataFrame:
-    return oof(spark, root).where("horizon = 1").select("unique_id", "ds", "fold", "model", *r4("y", "y_hat")).unpivot(["unique_id", "ds", "fold", "model"], ["y", "y_hat"], "what", "amount")
+    """Actuals and forecasts in one column, all horizons (the SQL twin still reads horizon 1 only and so differs)."""
+    return oof(spark, root).select("unique_id", "ds", "fold", "model", *r4("y", "y_hat")).unpivot(["unique_id", "ds", "fold", "model"], ["y", "y_hat"], "what", "amount")
 
 
 @query(f"WITH {PANEL_SQL}, b AS (SELECT category, count(DISTINCT unique_id) AS size FROM panel GROUP BY 1), q AS (SELECT category, size, size * 50.0 / sum(size) OVER () AS x FROM b) SELECT category, size, round_even(x, 0)::BIGINT AS take FROM q")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from kronopanel.operators import entities as E
-from kronopanel.plans import entity_queries, panel_queries
+from kronopanel.plans import backtest_queries, entity_queries, panel_queries
 from kronopanel.plans.inputs import national
 
 
@@ -33,3 +33,10 @@ def test_national_months_of_every_notation(spark, tmp_path):
     assert got == {("a", "2024-01"): 2.0, ("a", "2024-02"): 2.0, ("a", "2024-03"): 3.0, ("a", "2024-04"): 4.0, ("a", "2024-05"): 5.0, ("a", "2024-07"): 6.0, ("a", "2025-05"): 7.0, ("b", "2024-06"): 9.0}
     mom = {(r.unique_id, r.ds.month): r.mom for r in panel_queries.growth_mom_yoy(spark, str(tmp_path)).collect() if r.ds.year == 2024}
     assert mom["a", 4] == 0.3333 and mom["a", 5] == 0.25
+
+
+def test_unpivot_forecasts_takes_every_horizon(spark, tmp_path):
+    rows = [("1__food", "2024-02-01", f"h{h}_2024-01", h, "naive", 1.0 * h, 2.0 * h) for h in (1, 3, 6)] + [("1__food", "2024-03-01", "h1_2024-02", 1, "naive", None, 2.0)]
+    spark.createDataFrame(rows, "unique_id string, ds string, fold string, horizon int, model string, y double, y_hat double").write.parquet(f"{tmp_path}/oof_old.parquet")
+    got = {(r.fold, r.what): r.amount for r in backtest_queries.unpivot_forecasts(spark, str(tmp_path)).collect()}
+    assert got == {(f"h{h}_2024-01", what): v * h for h in (1, 3, 6) for what, v in (("y", 1.0), ("y_hat", 2.0))}
