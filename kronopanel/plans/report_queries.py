@@ -11,7 +11,7 @@ from kronopanel.operators import features as X
 from kronopanel.operators.metrics import loss_differences
 from kronopanel.plans.backtest_queries import _PAIRS, _reference_oof
 from kronopanel.plans.changepoint_queries import _BENCH, _cusum_sql, _labels, _noise_arrays, _arrays, _stream
-from kronopanel.plans.inputs import PANEL_SQL, TERRITORY_SQL, Registry, edges, panel, r4, territory
+from kronopanel.plans.inputs import PANEL_SQL, TERRITORY_SQL, Registry, edges, numbered, panel, r4, territory
 from kronopanel.plans.panel_queries import _LAGS_SQL, _NN_SQL
 from kronopanel.session import table
 
@@ -120,12 +120,16 @@ def invariant_features(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def pseudo_labels(spark: SparkSession, root: str) -> DataFrame:
-    """Break points of the best offline detector as labels of the whole panel (dynamic programming: no SQL twin)."""
-    found = {name: C.detect(_noise_arrays(spark, root), name, p) for name, p in (("pelt_l2", 30.0), ("binseg_l2", 30.0))}
-    labels = _labels(spark, root)
-    f1 = {name: C.score(a, labels).first().f1 for name, a in found.items()}
+    """Break points of the best offline detector as labels of the whole panel (dynamic programming: no SQL twin).
+
+    The detector is chosen on the synthetic breaks and then run on the series as they are, of any length.
+    """
+    bench, labels = _noise_arrays(spark, root), _labels(spark, root)
+    parameters = {"pelt_l2": 30.0, "binseg_l2": 30.0}
+    f1 = {name: C.score(C.detect(bench, name, p), labels).first().f1 for name, p in parameters.items()}
     best = max(sorted(f1), key=lambda n: f1[n])
-    return found[best].select("unique_id", F.explode("alarms").alias("t"), F.lit(best).alias("detector"))
+    real = C.series_arrays(C.noise_units(numbered(panel(spark, root))), "x")
+    return C.detect(real, best, parameters[best]).select("unique_id", F.explode("alarms").alias("t"), F.lit(best).alias("detector"))
 
 
 @query()

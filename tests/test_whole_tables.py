@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from kronopanel.operators import entities as E
-from kronopanel.plans import backtest_queries, entity_queries, panel_queries
+from kronopanel.plans import backtest_queries, entity_queries, panel_queries, report_queries
 from kronopanel.plans.inputs import national
 
 
@@ -40,3 +40,13 @@ def test_unpivot_forecasts_takes_every_horizon(spark, tmp_path):
     spark.createDataFrame(rows, "unique_id string, ds string, fold string, horizon int, model string, y double, y_hat double").write.parquet(f"{tmp_path}/oof_old.parquet")
     got = {(r.fold, r.what): r.amount for r in backtest_queries.unpivot_forecasts(spark, str(tmp_path)).collect()}
     assert got == {(f"h{h}_2024-01", what): v * h for h in (1, 3, 6) for what, v in (("y", 1.0), ("y_hat", 2.0))}
+
+
+def test_pseudo_labels_are_those_of_the_real_series(spark, tmp_path):
+    month = lambda k: f"{2022 + k // 12}-{k % 12 + 1:02d}"
+    wave = lambda k: 1000 + 7 * ((k * 5) % 7)
+    rows = [(month(k), t, "food", wave(k + t) * (2 if t == 8 and k >= 15 else 1)) for t in range(1, 9) for k in range(24)]
+    rows += [(month(k), 100, "food", wave(k) * (2 if k >= 6 else 1)) for k in range(12)]  # too short for the synthetic bench
+    spark.createDataFrame(rows, "date string, territory_id int, category string, value int").write.parquet(f"{tmp_path}/consumption.parquet")
+    got = {(r.unique_id, r.t) for r in report_queries.pseudo_labels(spark, str(tmp_path)).collect()}
+    assert got == {("8__food", 15), ("100__food", 6)}
