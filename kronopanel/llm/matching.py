@@ -3,9 +3,9 @@
 Blocking.  Each attribute gives MinHash keys: the 3-grams of a name's stem, and the (month, level)
 cells of a value series, where levels are logarithms modulo a factor 1000, so that a change of unit
 keeps them.  A short series, which shares too little with a full one for MinHash, uses all its runs
-of three months.  A key that too many territories share (a common name) makes no pairs by itself:
-its blocks are reached through the name together with a run of values, or with the region, which is
-exact for them and keeps the number of pairs in proportion to the input.
+of three months.  A name key that too many territories share (a common name) makes no pairs by itself:
+its blocks are reached through each stem behind the key together with a run of values, or with the
+region, and a block without such a run takes the key in full.  Value keys always count in full.
 
 Scoring.  Pairs get similarity features of name, kind, region and values; a logistic classifier is
 trained on weak labels (unambiguous pairs that agree or disagree in both attributes, also shown with
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -233,24 +234,53 @@ def _block_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     add.append(("value", value_keys(cat, m, v)))
                 if len(m) < SHORT or not root:  # nothing but values leads to a block without name
                     add.append(("run", run_keys(cat, m, v)))
-                if root:
-                    add.append(("both", _pair(h, run_keys(cat, m, v))))
             for kind, k in add:
                 ids.append(b), kinds.append(kind), keys.append(k)
         yield _emit(ids, kinds, keys)
 
 
+def _linked_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keys of a block with each stem its crowded keys lead to; 'all' if it has no run of values."""
+    for pdf in batches:
+        ids, kinds, keys = [], [], []
+        for b, cat, m, v, mo, stems in zip(pdf["b"], pdf["category"], pdf["m"], pdf["v"], pdf["mo"], pdf["stems"]):
+            region = parse_name(mo)[2]
+            runs = run_keys(cat, np.asarray(m, np.int64), np.asarray(v, float)) if cat is not None and len(m) else np.zeros(0, np.uint64)
+            hashes = [int(s) & 0xFFFFFFFFFFFFFFFF for s in stems]
+            add = [("both", _pair(h, runs)) for h in hashes] if len(runs) else [("all", np.zeros(1, np.uint64))]
+            if region:
+                add += [("region", _pair(h, _hash(region))) for h in hashes]
+            for kind, k in add:
+                ids.append(b), kinds.append(kind), keys.append(k)
+        yield _emit(ids, kinds, keys)
+
+
+def _keys_of_name(root: str) -> tuple[tuple[str, np.ndarray], ...]:
+    return ("root", _pair(_hash(stem(root)), 7)), ("name", name_keys(root)), ("prefix", _pair(_hash(root[:5]), 5))
+
+
 def _territory_name_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ids, kinds, keys = [], [], []
         for t, names, regions in zip(pdf["t"], pdf["names"], pdf["regions"]):
             for root in {parse_name(n)[0] for n in names} - {""}:
                 h = _hash(stem(root))
-                for kind, k in (("root", _pair(h, 7)), ("name", name_keys(root)), ("prefix", _pair(_hash(root[:5]), 5)), *(("region", _pair(h, _hash(r))) for r in regions if r)):
+                for kind, k in (*_keys_of_name(root), *(("region", _pair(h, _hash(r))) for r in regions if r)):
                     ids.append(t), kinds.append(kind), keys.append(k)
         yield _emit(ids, kinds, keys)
 
 
+def _stem_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The name keys of each stem, under the stem's hash."""
+    for pdf in batches:
+        ids, kinds, keys = [], [], []
+        for root in {parse_name(n)[0] for names in pdf["names"] for n in names} - {""}:
+            h = int(np.uint64(_hash(stem(root))).astype(np.int64))
+            for kind, k in _keys_of_name(root):
+                ids.append(h), kinds.append(kind), keys.append(k)
+        yield _emit(ids, kinds, keys)
+
+
 def _territory_value_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ids, kinds, keys = [], [], []
@@ -266,16 +296,24 @@ def _territory_value_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
 
 
 def candidate_pairs(blocks: DataFrame, territories: DataFrame, series: DataFrame, max_bucket: int) -> DataFrame:
-    """Distinct (b, t).  Keys of more than ``max_bucket`` territories give way to the 'both' keys."""
+    """Distinct (b, t).  Name keys of more than ``max_bucket`` territories give way to (stem, run) and (stem, region) keys."""
     left = materialize(blocks.mapInPandas(_block_keys, _KEYS), "block-keys")
     right = territories.mapInPandas(_territory_name_keys, _KEYS).unionByName(series.join(territories.select("t", "names"), "t", "left").mapInPandas(_territory_value_keys, _KEYS)).distinct()
-    right = materialize(right, "territory-keys")
-    sizes = right.where("kind <> 'both'").groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > max_bucket)
+    right = materialize(right, "territory-keys").withColumnRenamed("id", "t")
+    sizes = right.where("kind in ('root', 'name', 'prefix', 'region')").groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > max_bucket).select("kind", "key")
     few = right.where("kind <> 'both'").join(sizes, ["kind", "key"], "left_anti")
-    crowded = left.join(sizes, ["kind", "key"], "left_semi").select("id").distinct()
-    usual = left.where("kind <> 'both'").join(few.withColumnRenamed("id", "t"), ["kind", "key"]).select(F.col("id").alias("b"), "t")
-    rest = left.where("kind = 'both'").join(crowded, "id", "left_semi").join(right.where("kind = 'both'").withColumnRenamed("id", "t"), ["kind", "key"]).select(F.col("id").alias("b"), "t")
-    return usual.unionByName(rest).distinct()
+    crowded = left.join(sizes, ["kind", "key"], "left_semi")
+    # every stem behind a crowded key counts, not only the block's own: names come misspelt and abbreviated
+    stems = territories.mapInPandas(_stem_keys, _KEYS).distinct().withColumnRenamed("id", "stem")
+    links = crowded.join(stems, ["kind", "key"]).groupBy("id").agg(F.collect_set("stem").alias("stems"))
+    linked = materialize(blocks.join(links.withColumnRenamed("id", "b"), "b").mapInPandas(_linked_keys, _KEYS), "linked-keys")
+    parts = [
+        left.join(few, ["kind", "key"]),
+        linked.where("kind = 'both'").join(right.where("kind = 'both'"), ["kind", "key"]),
+        linked.where("kind = 'region'").join(few.where("kind = 'region'"), ["kind", "key"]),
+        crowded.join(linked.where("kind = 'all'").select("id"), "id", "left_semi").join(right, ["kind", "key"]),
+    ]
+    return reduce(DataFrame.unionByName, [p.select(F.col("id").alias("b"), "t") for p in parts]).distinct()
 
 
 #: Shares of months within NEAR and CLOSE of the figures, and the level itself within LEVEL: wider than the
