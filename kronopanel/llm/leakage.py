@@ -76,8 +76,7 @@ class Passages:
                 loc = np.searchsorted(terms, s)
                 weight[loc, j] = self.idf[s]
                 local.append(loc)
-            pairs = np.unique(np.concatenate([s[:-1] * (len(terms) + 1) + s[1:] for s in local])) if local else np.zeros(0, np.int64)
-            self.checks.append((terms, weight, local, weight.sum(0), pairs, [fragments(s) for s in local]))
+            self.checks.append((terms, weight, local, weight.sum(0), [fragments(s) for s in local]))
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -98,23 +97,20 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 def _held(passages: Passages, k: int, words: np.ndarray, min_order: float, min_weight: float, least: float) -> float:
     """Share of passage ``k`` that recurs in ``words`` (vocabulary indices): sentences, and cut ones beside them.
 
-    0 if that share cannot reach ``least``: too few of its words, or of its pairs of neighbours, occur at all.
+    0 if that share cannot reach ``least``: too few of its words occur at all.
     """
-    terms, weight, local, total, pairs, runs = passages.checks[k]
+    terms, weight, local, total, runs = passages.checks[k]
     all_words = sum(len(s) for s in local)
     if not all_words:
         return 0.0
     loc = np.searchsorted(terms, words)
     loc = np.where(terms[np.minimum(loc, len(terms) - 1)] == words, loc, len(terms))
-    # half a passage with every tenth word changed keeps four fifths of the pairs of neighbouring words it holds
-    seen = np.zeros((len(terms) + 1) ** 2, bool)
-    seen[loc[:-1] * (len(terms) + 1) + loc[1:]] = True
-    kept = seen[pairs].mean() if len(pairs) else 1.0
-    if kept < 0.8 * least:
-        return 0.0
     present = np.zeros(len(terms) + 1)
     present[loc] = 1
-    if (present @ weight).sum() < least * total.sum():
+    # what the checks below can accept at most: no pair of neighbours need survive, words may be put between any two
+    shown = present @ weight
+    most = sum(len(s) if shown[j] >= min_weight * total[j] else present[s].sum() if shown[j] >= total[j] / 4 else 0 for j, s in enumerate(local))
+    if most < least * all_words:
         return 0.0
     run = np.zeros((len(loc) + 1, len(local)))
     np.cumsum(weight[loc], axis=0, out=run[1:])
@@ -129,7 +125,7 @@ def _held(passages: Passages, k: int, words: np.ndarray, min_order: float, min_w
             held += len(s)
         else:
             cut.append(j)
-    if held < 0.5 * all_words and (held > 0.1 * all_words or kept > 0.4):  # the passage may begin or end within a sentence
+    if held < 0.5 * all_words:  # the passage may begin or end within a sentence
         there = np.sort(fragments(loc))
         for j in cut:
             size, end = longest_run(runs[j], there)
