@@ -266,7 +266,7 @@ def detect(arrays: DataFrame, name: str, parameter: float) -> DataFrame:
 
 
 def injected(y: Column, t: Column, tau: Column, kind: Column, delta: Column, n: Column, duration: int = 3) -> Column:
-    """Value with a break of the given shape from position ``tau`` on; NULL or negative tau leaves it."""
+    """Value with a break of the given shape from position ``tau`` on; NULL or negative tau leaves it, an unknown shape fails."""
     k = t - tau
     rise = F.least(F.lit(1.0), (k + 1) / F.lit(float(duration)))
     during = k < duration
@@ -277,7 +277,7 @@ def injected(y: Column, t: Column, tau: Column, kind: Column, delta: Column, n:
         .when(kind == "temporary_drop", F.when(during, y * (1 - F.abs(delta))).otherwise(y))
         .when(kind == "temporary_spike", F.when(during, y * (1 + F.abs(delta))).otherwise(y))
         .when(kind == "gradual_drift", y * (1 + delta * rise))
-        .otherwise(y)
+        .otherwise(F.raise_error(F.concat(F.lit("unknown kind of break: "), F.coalesce(kind, F.lit("NULL")))).cast("double"))
     )
     return F.greatest(F.lit(0.0), F.when(F.coalesce(tau < 0, F.lit(True)) | (t < tau), y).otherwise(shape))
 
