@@ -1,23 +1,31 @@
 """Matching series blocks to territories that share no key with them.
 
-Blocking.  Each attribute gives MinHash keys: the 3-grams of a name's stem, and the (month, level)
-cells of a value series, where levels are logarithms modulo a factor 1000, so that a change of unit
-keeps them.  A short series, which shares too little with a full one for MinHash, uses all its runs
-of three months.  A name key that too many territories share (a common name) makes no pairs by itself:
-its blocks are reached through each stem behind the key together with a run of values, or with the
-region, and a block without such a run takes the key in full.  Value keys always count in full.
-
-Scoring.  Pairs get similarity features of name, kind, region and values; a logistic classifier is
-trained on weak labels (unambiguous pairs that agree or disagree in both attributes, also shown with
-the name hidden) and calibrated by isotonic regression on labels it has not seen.  The labelled
-sample is bounded by ``max_labels``; everything else covers all rows.
+Blocking.  A block whose stem is a stem of the reference meets the territories of that stem; a pair whose
+names are plainly different is never a match, so other keys could add nothing to it.  All other blocks
+(misspelt, abbreviated or missing names), and a bounded probe of the rest that shows the classifier
+what chance agreement looks like, use keys of every attribute: MinHash keys of the 3-grams of the stem,
+keys of an abbreviation's first letters, MinHash keys of the (month, level) cells of a series, where levels are
+logarithms modulo a factor 1000, so that a change of unit keeps them.  A series that is short or without
+name also uses its runs of three months.
+
+A name key that more than ``max_bucket`` territories share makes no pairs by itself: its blocks are reached
+through each stem behind the key together with a run of values (a series of few runs: with single
+cells of a grid wide enough for noise), with the kind, the region, or both.  A pair without common
+figures that none of these reaches shares stem, kind and region with more than ``max_bucket`` territories,
+and its confidence, divided among them, stays below ``least``.  Value keys always count in full.
+
+Scoring.  Pairs get evidence of name, kind, region and values; a logistic classifier adds it up.  It is
+trained on weak labels (unambiguous pairs that agree or disagree in both attributes, also shown with the
+name hidden), in which every combination of evidence has the same weight, and calibrated by isotonic regression on margins
+of models that did not see the label (five folds).  The labelled sample is bounded by ``max_labels`` and the
+probe by ``max_probe``; everything else covers all rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -36,12 +44,16 @@ _KIND_WORDS = re.compile(
     r"м\W{0,2}р-н|р-н|м\W{0,2}о|г\W{0,2}о|мо|го|вн|тер|окр|г)\b\.?"
 )
 _REGION = re.compile(r"\(\s*рег\w*\.?\s*(\d{1,3})\s*\)")
-_SUFFIX = re.compile(r"(?:ский|цкий|ской|цкой|ый|ой|ий)$")
+#: Endings of the adjective made from a place name, then those of the place name itself.
+_ADJECTIVE = re.compile(r"(?:(?<=ц)к(?:ий|ой|ая|ое)|ь?ск(?:ий|ой|ая|ое)?|[ыио]й|ая|ое)$")
+_NOUN = re.compile(r"(?:ка|[аеиоыья])$")
 NAME_BANDS, NAME_ROWS = 20, 4
 VALUE_BANDS, VALUE_ROWS = 32, 4
 _LOG_UNIT = float(np.log(1000.0))
 LEVELS = 115  # levels per factor 1000: about 6 % each
+CELLS = 57  # levels of single cells: two grids, half a level apart, keep values up to 6 % apart together
 SHORT = 10
+PREFIX = (3, 4, 5)  # letters of an abbreviated name that make a key
 
 
 def parse_name(name: str | None) -> tuple[str, str, str, bool]:
@@ -71,8 +83,14 @@ def parse_name(name: str | None) -> tuple[str, str, str, bool]:
     return root, kind, region, short
 
 
+@lru_cache(100_000)
 def stem(root: str) -> str:
-    return _SUFFIX.sub("", root)
+    """What a place name and the adjective made from it share, word by word."""
+    out = []
+    for word in root.split():
+        short = _NOUN.sub("", _ADJECTIVE.sub("", word))
+        out.append(short if len(short) > 2 else word)
+    return " ".join(out)
 
 
 def grams(root: str) -> frozenset[str]:
@@ -100,9 +118,10 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 def likeness(a: str, b: str) -> float:
     """1 for equal stems, high for a slip or two of the pen, else the overlap of 3-grams."""
-    if stem(a) == stem(b):
-        return 1.0
     g, h = grams(a), grams(b)
+    a, b = stem(a), stem(b)
+    if a == b:
+        return 1.0
     overlap = len(g & h) / len(g | h)
     most = 1 if min(len(a), len(b)) < 7 else 2
     slips = edit_distance(a, b, most)
@@ -137,8 +156,8 @@ def minhash_keys(tokens: np.ndarray, bands: int, rows: int, salt: int) -> np.nda
     return key
 
 
-def _levels(values: np.ndarray, shift: float = 0.0) -> np.ndarray:
-    return np.floor(np.mod(np.log(values) / _LOG_UNIT, 1.0) * LEVELS + shift).astype(np.int64) % LEVELS
+def _levels(values: np.ndarray, shift: float = 0.0, levels: int = LEVELS) -> np.ndarray:
+    return np.floor(np.mod(np.log(values) / _LOG_UNIT, 1.0) * levels + shift).astype(np.int64) % levels
 
 
 def _scatter(a: int) -> int:
@@ -163,6 +182,12 @@ def run_keys(category: str, months: np.ndarray, values: np.ndarray) -> np.ndarra
     return np.concatenate(out)
 
 
+def cell_keys(category: str, months: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Keys of all single months, on two grids of wide levels."""
+    c = _hash(category)
+    return np.concatenate([_mix((months * 1000 + _levels(values, shift, CELLS)).astype(np.uint64) + np.uint64(_scatter(c + grid + 11))) for grid, shift in enumerate((0.0, 0.5))])
+
+
 def name_keys(root: str) -> np.ndarray:
     if not root:
         return np.zeros(0, np.uint64)
@@ -214,21 +239,26 @@ def _pair(a: int, b: np.ndarray | int) -> np.ndarray:
     return _mix(np.asarray(b, np.uint64).reshape(-1) + np.uint64(_scatter(a)))
 
 
-def _block_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _root_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        ids, kinds, keys = [], [], []
+        for b, mo in zip(pdf["b"], pdf["mo"]):
+            root, _, _, short = parse_name(mo)
+            if root and not short:
+                ids.append(b), kinds.append("root"), keys.append(_pair(_hash(stem(root)), 7))
+        yield _emit(ids, kinds, keys)
+
+
+def _wide_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keys of every attribute but the stem itself."""
     for pdf in batches:
         ids, kinds, keys = [], [], []
         for b, cat, m, v, mo in zip(pdf["b"], pdf["category"], pdf["m"], pdf["v"], pdf["mo"]):
             m, v = np.asarray(m, np.int64), np.asarray(v, float)
-            root, _, region, short = parse_name(mo)
-            h = _hash(stem(root)) if root else 0
+            root, _, _, short = parse_name(mo)
             add = []
-            if root and not short:
-                add.append(("root", _pair(h, 7)))
-                add.append(("name", name_keys(root)))
-            if root and short:
-                add.append(("prefix", _pair(_hash(root[:5]), 5)))
-            if root and region:
-                add.append(("region", _pair(h, _hash(region))))
+            if root:
+                add.append(("prefix", prefix_keys(root, False)) if short else ("name", name_keys(root)))
             if cat is not None and len(m):
                 if len(m) >= SHORT:
                     add.append(("value", value_keys(cat, m, v)))
@@ -239,34 +269,51 @@ def _block_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _emit(ids, kinds, keys)
 
 
+def prefix_keys(root: str, full: bool) -> np.ndarray:
+    """Of a full name the first letters at every length of PREFIX, of an abbreviation the longest that it has."""
+    sizes = [n for n in PREFIX if n <= len(root)] or [len(root)]
+    return np.concatenate([_pair(_hash(root[:n]), 50 + n) for n in (sizes if full else sizes[-1:])])
+
+
+def _of_kind(h: int, kind: str, region: str) -> np.ndarray:
+    return _pair(h, _hash(f"{kind}|{region}"))
+
+
 def _linked_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keys of a block with each stem its crowded keys lead to; 'all' if it has no run of values."""
+    """Keys of a block with each stem its crowded keys lead to."""
     for pdf in batches:
         ids, kinds, keys = [], [], []
         for b, cat, m, v, mo, stems in zip(pdf["b"], pdf["category"], pdf["m"], pdf["v"], pdf["mo"], pdf["stems"]):
-            region = parse_name(mo)[2]
-            runs = run_keys(cat, np.asarray(m, np.int64), np.asarray(v, float)) if cat is not None and len(m) else np.zeros(0, np.uint64)
-            hashes = [int(s) & 0xFFFFFFFFFFFFFFFF for s in stems]
-            add = [("both", _pair(h, runs)) for h in hashes] if len(runs) else [("all", np.zeros(1, np.uint64))]
-            if region:
-                add += [("region", _pair(h, _hash(region))) for h in hashes]
-            for kind, k in add:
-                ids.append(b), kinds.append(kind), keys.append(k)
+            m, v = np.asarray(m, np.int64), np.asarray(v, float)
+            _, kind, region, _ = parse_name(mo)
+            values = run_keys(cat, m, v) if cat is not None and len(m) else np.zeros(0, np.uint64)
+            if cat is not None and len(m) and len(values) < 2 * SHORT:  # too few runs (on two grids) to outlast noise
+                values = cell_keys(cat, m, v)
+            for h in (int(x) & 0xFFFFFFFFFFFFFFFF for x in stems):
+                add = [("both", _pair(h, values))] if len(values) else []
+                add += [("kind", _of_kind(h, k, r)) for k, r in {(kind, ""), ("", region), (kind, region)} if k or r]
+                for kd, key in add:
+                    ids.append(b), kinds.append(kd), keys.append(key)
         yield _emit(ids, kinds, keys)
 
 
 def _keys_of_name(root: str) -> tuple[tuple[str, np.ndarray], ...]:
-    return ("root", _pair(_hash(stem(root)), 7)), ("name", name_keys(root)), ("prefix", _pair(_hash(root[:5]), 5))
+    return ("root", _pair(_hash(stem(root)), 7)), ("name", name_keys(root)), ("prefix", prefix_keys(root, True))
 
 
 def _territory_name_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ids, kinds, keys = [], [], []
         for t, names, regions in zip(pdf["t"], pdf["names"], pdf["regions"]):
-            for root in {parse_name(n)[0] for n in names} - {""}:
-                h = _hash(stem(root))
-                for kind, k in (*_keys_of_name(root), *(("region", _pair(h, _hash(r))) for r in regions if r)):
+            parsed = {parse_name(n)[:2] for n in names}
+            for root in {r for r, _ in parsed} - {""}:
+                for kind, k in _keys_of_name(root):
                     ids.append(t), kinds.append(kind), keys.append(k)
+            for root, kind in parsed:
+                h = _hash(stem(root))
+                for k, r in {(kind, ""), *(("", r) for r in regions), *((kind, r) for r in regions)} if root else ():
+                    if k or r:
+                        ids.append(t), kinds.append("kind"), keys.append(_of_kind(h, k, r))
         yield _emit(ids, kinds, keys)
 
 
@@ -281,48 +328,74 @@ def _stem_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _emit(ids, kinds, keys)
 
 
+def _stems_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(t, int(np.uint64(h).astype(np.int64))) for t, names in zip(pdf["t"], pdf["names"]) for h in map(_hash, {stem(parse_name(n)[0]) for n in names} - {""})]
+        yield pd.DataFrame(rows, columns=["t", "stem"])
+
+
 def _territory_value_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ids, kinds, keys = [], [], []
-        for t, cat, m, v, names in zip(pdf["t"], pdf["category"], pdf["m"], pdf["v"], pdf["names"]):
+        for t, cat, m, v in zip(pdf["t"], pdf["category"], pdf["m"], pdf["v"]):
             m, v = np.asarray(m, np.int64), np.asarray(v, float)
-            if cat is None or not len(m):
-                continue
-            runs = run_keys(cat, m, v)
-            stems = {stem(parse_name(n)[0]) for n in (names if names is not None else [])} - {""}
-            for kind, k in (("value", value_keys(cat, m, v)), ("run", runs), *(("both", _pair(_hash(s), runs)) for s in stems)):
-                ids.append(t), kinds.append(kind), keys.append(k)
+            if cat is not None and len(m):
+                for kind, k in (("value", value_keys(cat, m, v)), ("run", run_keys(cat, m, v))):
+                    ids.append(t), kinds.append(kind), keys.append(k)
         yield _emit(ids, kinds, keys)
 
 
-def candidate_pairs(blocks: DataFrame, territories: DataFrame, series: DataFrame, max_bucket: int) -> DataFrame:
-    """Distinct (b, t).  Name keys of more than ``max_bucket`` territories give way to (stem, run) and (stem, region) keys."""
-    left = materialize(blocks.mapInPandas(_block_keys, _KEYS), "block-keys")
-    right = territories.mapInPandas(_territory_name_keys, _KEYS).unionByName(series.join(territories.select("t", "names"), "t", "left").mapInPandas(_territory_value_keys, _KEYS)).distinct()
+def _crowded_value_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs and cells of a territory's series under each of its crowded stems."""
+    for pdf in batches:
+        ids, kinds, keys = [], [], []
+        for t, cat, m, v, h in zip(pdf["t"], pdf["category"], pdf["m"], pdf["v"], pdf["stem"]):
+            m, v = np.asarray(m, np.int64), np.asarray(v, float)
+            if cat is not None and len(m):
+                k = np.concatenate([run_keys(cat, m, v), cell_keys(cat, m, v)])
+                ids.append(t), kinds.append("both"), keys.append(_pair(int(h) & 0xFFFFFFFFFFFFFFFF, k))
+        yield _emit(ids, kinds, keys)
+
+
+def candidate_pairs(blocks: DataFrame, territories: DataFrame, series: DataFrame, max_bucket: int, max_probe: int) -> DataFrame:
+    """Distinct (b, t, wide); ``wide`` blocks were looked for by all their attributes."""
+    roots = materialize(blocks.select("b", "mo").mapInPandas(_root_keys, _KEYS), "block-roots")
+    right = territories.mapInPandas(_territory_name_keys, _KEYS).unionByName(series.mapInPandas(_territory_value_keys, _KEYS)).distinct()
     right = materialize(right, "territory-keys").withColumnRenamed("id", "t")
-    sizes = right.where("kind in ('root', 'name', 'prefix', 'region')").groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > max_bucket).select("kind", "key")
-    few = right.where("kind <> 'both'").join(sizes, ["kind", "key"], "left_anti")
+    known = roots.join(right.where("kind = 'root'").select("kind", "key").distinct(), ["kind", "key"], "left_semi").select(F.col("id").alias("b"))
+    probe = blocks.select("b").orderBy(F.xxhash64("b"), "b").limit(max_probe)
+    wide = materialize(blocks.join(known.join(probe, "b", "left_anti"), "b", "left_anti"), "wide-blocks")
+    left = materialize(wide.mapInPandas(_wide_keys, _KEYS).unionByName(roots), "block-keys")
+
+    sizes = right.where("kind in ('root', 'name', 'prefix', 'kind')").groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > max_bucket).select("kind", "key")
+    sizes = materialize(sizes, "crowded-keys")
+    few = right.join(sizes, ["kind", "key"], "left_anti")
     crowded = left.join(sizes, ["kind", "key"], "left_semi")
     # every stem behind a crowded key counts, not only the block's own: names come misspelt and abbreviated
-    stems = territories.mapInPandas(_stem_keys, _KEYS).distinct().withColumnRenamed("id", "stem")
-    links = crowded.join(stems, ["kind", "key"]).groupBy("id").agg(F.collect_set("stem").alias("stems"))
+    behind = materialize(territories.mapInPandas(_stem_keys, _KEYS).distinct().join(sizes, ["kind", "key"], "left_semi").withColumnRenamed("id", "stem"), "crowded-stems")
+    links = crowded.join(behind, ["kind", "key"]).groupBy("id").agg(F.collect_set("stem").alias("stems"))
     linked = materialize(blocks.join(links.withColumnRenamed("id", "b"), "b").mapInPandas(_linked_keys, _KEYS), "linked-keys")
+    owners = territories.mapInPandas(_stems_of, "t long, stem long").join(behind.select("stem").distinct(), "stem", "left_semi")
+    both = series.join(owners, "t").mapInPandas(_crowded_value_keys, _KEYS).withColumnRenamed("id", "t")
     parts = [
         left.join(few, ["kind", "key"]),
-        linked.where("kind = 'both'").join(right.where("kind = 'both'"), ["kind", "key"]),
-        linked.where("kind = 'region'").join(few.where("kind = 'region'"), ["kind", "key"]),
-        crowded.join(linked.where("kind = 'all'").select("id"), "id", "left_semi").join(right, ["kind", "key"]),
+        linked.where("kind = 'both'").join(both, ["kind", "key"]),
+        linked.where("kind = 'kind'").join(few.where("kind = 'kind'"), ["kind", "key"]),
     ]
-    return reduce(DataFrame.unionByName, [p.select(F.col("id").alias("b"), "t") for p in parts]).distinct()
-
-
-#: Shares of months within NEAR and CLOSE of the figures, and the level itself within LEVEL: wider than the
-#: noise of an export, narrower than a systematic factor of five per cent.
-NEAR, CLOSE, LEVEL = 0.03, 0.06, 0.0475
-FULL = 8  # months from which a series is judged by NEAR, below it by CLOSE
-FEATURES = ("name_sim", "same_root", "no_name", "kind_same", "kind_other", "region_same", "region_other", "near_share", "level_gap", "spread", "no_figures", "root_and_near", "unnamed_near", "root_no_figures", "few_months", "close_share", "level_within", "root_and_close", "unnamed_close")
+    pairs = reduce(DataFrame.unionByName, [p.select(F.col("id").alias("b"), "t") for p in parts]).distinct()
+    return pairs.join(wide.select("b", F.lit(True).alias("wide")), "b", "left").fillna(False, ["wide"])
+
+
+#: Months count as agreeing within CLOSE; the level itself must agree within LEVEL (a short series) or FIRM (a full one):
+#: wider than the noise of an export, narrower than a systematic factor of five per cent.
+CLOSE, LEVEL, FIRM = 0.06, 0.0475, 0.03
+FULL = 8  # months from which a series is judged as a full one
+NOISE = 0.01  # usual distance of an export from the figures
+ALIKE = 0.65  # likeness from which a name counts as misspelt rather than another
+FEATURES = ("same_name", "close_name", "no_name", "other_name", "kind_same", "kind_other", "region_same", "region_other", "agree_full", "agree_short", "differ", "no_figures")
+SAME, CLOSE_NAME, UNNAMED, OTHER, KIND_OTHER, REGION_OTHER, AGREE_FULL, AGREE_SHORT, DIFFER, NONE = 0, 1, 2, 3, 5, 7, 8, 9, 10, 11
 _FEATURE_COLS = [f"f{i}" for i in range(len(FEATURES))]
-_SCORED = "b long, t long, n_same long, months int, " + ", ".join(f"{c} double" for c in _FEATURE_COLS)
+_SCORED = "b long, t long, wide boolean, n_same long, months int, sim double, away double, " + ", ".join(f"{c} double" for c in _FEATURE_COLS)
 
 
 def _features(first_month: int, n_months: int):  # noqa: ANN202
@@ -334,130 +407,126 @@ def _features(first_month: int, n_months: int):  # noqa: ANN202
         return np.log(out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parsed: dict = {}
-        alike: dict = {}
+        parsed = lru_cache(200_000)(parse_name)
+        alike = lru_cache(500_000)(likeness)
         for pdf in batches:
             if not len(pdf):
                 continue
             d = dense(pdf["bm"], pdf["bv"]) - dense(pdf["tm"], pdf["tv"])
             common = np.sum(~np.isnan(d), axis=1)
             some = common > 0
-            med, share, spread, close = np.full(len(d), 0.5), np.zeros(len(d)), np.full(len(d), 0.5), np.zeros(len(d))
+            gap, close, away = np.full(len(d), 1.0), np.zeros(len(d)), np.full(len(d), 1.0)
             if some.any():
                 x = d[some]
-                raw = np.nanmedian(x, axis=1)
-                unit = np.clip(np.round(raw / _LOG_UNIT), -1, 1) * _LOG_UNIT
-                x = x - unit[:, None]
-                med[some] = np.minimum(np.abs(np.nanmedian(x, axis=1)), 0.5)
-                share[some] = np.nansum(np.abs(x) < NEAR, axis=1) / common[some]
+                x = x - (np.clip(np.round(np.nanmedian(x, axis=1) / _LOG_UNIT), -1, 1) * _LOG_UNIT)[:, None]
+                gap[some] = np.abs(np.nanmedian(x, axis=1))
                 close[some] = np.nansum(np.abs(x) < CLOSE, axis=1) / common[some]
-                spread[some] = np.minimum(np.nanmedian(np.abs(x - np.nanmedian(x, axis=1)[:, None]), axis=1), 0.5)
+                away[some] = np.nanmedian(np.abs(x), axis=1)
+            full = common >= FULL
+            agree = close * (gap < np.where(full, FIRM, LEVEL))
             f = np.zeros((len(pdf), len(FEATURES)))
-            same = np.ones(len(pdf), np.int64)
-            for i, (mo, names, regions, counts, region_counts) in enumerate(zip(pdf["mo"], pdf["names"], pdf["regions"], pdf["kin"], pdf["region_kin"])):
-                if mo not in parsed:
-                    if len(parsed) > 200_000:
-                        parsed.clear()
-                    parsed[mo] = parse_name(mo)
-                root, kind, region, short = parsed[mo]
-                best = (-1.0, 0, 0, 0, 1, 1)
-                for n, c, rc in zip(names, counts, region_counts):
-                    if n not in parsed:
-                        parsed[n] = parse_name(n)
-                    r2, k2 = parsed[n][:2]
-                    if not root or not r2:
-                        continue
-                    if short:
-                        sim = 0.95 if r2.startswith(root) else 0.0
-                    elif stem(root) == stem(r2):
-                        sim = 1.0
-                    else:
-                        pair = (root, r2)
-                        if pair not in alike:
-                            if len(alike) > 500_000:
-                                alike.clear()
-                            alike[pair] = likeness(root, r2)
-                        sim = alike[pair]
-                    best = max(best, (sim, int(sim >= 0.95), int(bool(kind) and kind == k2), int(bool(kind) and kind != k2), c, rc))
+            same, sims = np.ones(len(pdf), np.int64), np.zeros(len(pdf))
+            for i, (mo, names, regions, counts) in enumerate(zip(pdf["mo"], pdf["names"], pdf["regions"], pdf["kin"])):
+                root, kind, region, short = parsed(mo)
+                best = (-1.0, 0, 0, (1, 1, 1, 1))
+                for n, c in zip(names, counts):
+                    r2, k2 = parsed(n)[:2]
+                    if root and r2:
+                        sim = (1.0 if r2.startswith(root) else 0.0) if short else alike(root, r2)
+                        best = max(best, (sim, int(bool(kind) and kind == k2), int(bool(kind) and kind != k2), (c["k"], c["rk"], c["s"], c["rs"])), key=lambda x: x[:3])
                 known = [r for r in regions if r]
-                f[i, :7] = (max(best[0], 0.0), best[1], not root, best[2] * (best[0] > 0.3), best[3] * (best[0] > 0.3), bool(region) and region in known, bool(region) and bool(known) and region not in known)
-                same[i] = max(1, best[5] if region and region in known else best[4])
-            f[:, 7], f[:, 8], f[:, 9], f[:, 10] = share, np.log(med + 1e-3), np.log(spread + 1e-3), ~some
-            f[~some, 8:10] = np.log(0.05)
-            f[:, 11], f[:, 12], f[:, 13], f[:, 14] = f[:, 1] * share, f[:, 2] * share, f[:, 1] * f[:, 10], (common < 6) & some
-            f[:, 15], f[:, 16] = close, some & (med < LEVEL)
-            f[:, 17], f[:, 18] = f[:, 1] * close * f[:, 16], f[:, 2] * close * f[:, 16]
-            yield pd.DataFrame({"b": pdf["b"], "t": pdf["t"], "n_same": same, "months": common.astype(np.int32), **{c: f[:, j] for j, c in enumerate(_FEATURE_COLS)}})
+                here, elsewhere = bool(region) and region in known, bool(region) and bool(known) and region not in known
+                sims[i] = sim = max(best[0], 0.0)
+                f[i, :8] = (sim == 1, (sim - ALIKE) / (1 - ALIKE) if ALIKE < sim < 1 else 0, not root, bool(root) and sim <= ALIKE, best[1] * (sim > 0.3), best[2] * (sim > 0.3), here, elsewhere)
+                k, rk, s, rs = best[3]
+                same[i] = max(1, (rk if here else k) if kind else (rs if here else s))
+            f[:, AGREE_FULL], f[:, AGREE_SHORT], f[:, DIFFER], f[:, NONE] = agree * full, agree * (some & ~full), (1 - agree) * some, ~some
+            yield pd.DataFrame({"b": pdf["b"], "t": pdf["t"], "wide": pdf["wide"], "n_same": same, "months": common.astype(np.int32), "sim": sims, "away": away, **{c: f[:, j] for j, c in enumerate(_FEATURE_COLS)}})
 
     return run
 
 
 class MatchModel:
-    """Standardised logistic regression and its isotonic calibration."""
+    """Logistic regression and its isotonic calibration."""
 
-    def __init__(self, mean: np.ndarray, sd: np.ndarray, weights: np.ndarray, knots: np.ndarray, values: np.ndarray):
-        self.mean, self.sd, self.weights, self.knots, self.values = mean, sd, weights, knots, values
+    def __init__(self, weights: np.ndarray, knots: np.ndarray, values: np.ndarray):
+        self.weights, self.knots, self.values = weights, knots, values
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([(x - self.mean) / self.sd, np.ones((len(x), 1))], axis=1) @ self.weights
+        return x @ self.weights[:-1] + self.weights[-1]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return np.interp(self.margin(x), self.knots, self.values)
 
 
-def weak_labels(x: np.ndarray, n_same: np.ndarray, months: np.ndarray) -> np.ndarray:
+def weak_labels(x: np.ndarray, n_same: np.ndarray, sim: np.ndarray) -> np.ndarray:
     """1 match, 0 no match, -1 unclear."""
-    sim, root, unnamed, near, gap, spread, none = x[:, 0], x[:, 1] > 0, x[:, 2] > 0, x[:, 7], np.exp(x[:, 8]) - 1e-3, np.exp(x[:, 9]) - 1e-3, x[:, 10] > 0
-    close, full = x[:, 15], months >= FULL
-    agrees = ~none & (x[:, 16] > 0) & np.where(full, (near >= 0.5) & (spread < 0.04), close >= 0.6)
-    differs = ~none & np.where(full, ((gap > LEVEL) | (spread > 0.05)) & (near < 0.6), (gap > LEVEL + 0.02) | (close < 0.34))
-    clear_name = root & (n_same == 1) & (x[:, 6] == 0)
+    same, unnamed, none = x[:, SAME] > 0, x[:, UNNAMED] > 0, x[:, NONE] > 0
+    agree = x[:, AGREE_FULL] + x[:, AGREE_SHORT]
+    agrees, differs = ~none & (agree >= 0.6), ~none & (agree < 0.4)
+    here = x[:, REGION_OTHER] == 0
+    other = ~unnamed & (sim < 0.3)
     y = np.full(len(x), -1)
-    y[clear_name & agrees] = 1
-    y[clear_name & none & (x[:, 4] == 0)] = 1  # a territory without official figures
-    y[agrees & (sim > 0.65) & full & (x[:, 6] == 0)] = 1  # a misspelt name, the right figures
+    y[same & (n_same == 1) & here & agrees] = 1
+    y[same & (n_same == 1) & here & none & (x[:, KIND_OTHER] == 0)] = 1  # a territory without official figures
+    y[(sim > ALIKE) & here & agrees] = 1  # a misspelt name, the right figures
     y[differs] = 0
-    y[(sim < 0.3) & ~unnamed & none] = 0
-    y[(sim < 0.3) & ~unnamed & agrees & full] = 0  # the figures of a territory with another name
-    y[root & none & (x[:, 6] > 0)] = 0
+    y[other] = 0  # be it with the figures of a territory of another name
+    y[same & none & ~here] = 0
     return y
 
 
-def _hidden_names(x: np.ndarray, y: np.ndarray, months: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of full series without their names: what values alone are worth."""
-    keep = (months >= FULL) & (x[:, 2] == 0) & (x[:, 10] == 0) & ((y == 0) & (x[:, 7] < 0.6) | (y == 1))
-    h, hy = x[keep].copy(), y[keep]
-    h[:, [0, 1, 3, 4, 5, 6, 11, 13, 17]] = 0
-    h[:, 2] = 1
-    h[:, 12], h[:, 18] = h[:, 7], h[:, 15] * h[:, 16]
-    return h, hy
+def _hidden_names(x: np.ndarray, y: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of blocks looked for by all attributes, without their names: what values alone are worth."""
+    keep = wide & (x[:, UNNAMED] == 0) & (x[:, NONE] == 0)
+    h = x[keep].copy()
+    h[:, :AGREE_FULL] = 0
+    h[:, UNNAMED] = 1
+    return h, y[keep]
+
+
+def _cells(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights by which every combination of name, values and label counts alike within its label."""
+    name = np.argmax(np.stack([x[:, SAME], (x[:, CLOSE_NAME] > 0) + 0.0, x[:, UNNAMED], x[:, OTHER]], axis=1), axis=1)
+    value = np.argmax(np.stack([x[:, NONE], x[:, AGREE_FULL], x[:, AGREE_SHORT], x[:, DIFFER]], axis=1), axis=1)
+    _, cell, n = np.unique((name * 4 + value) * 2 + y.astype(int), return_inverse=True, return_counts=True)
+    w = 1.0 / n[cell]
+    for label in (0, 1):
+        w[y == label] *= 0.5 / max(w[y == label].sum(), 1e-12)
+    return w * len(x)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float) -> np.ndarray:
+    z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    out = np.zeros(z.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ out, -30, 30)))
+        step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(out)), z.T @ (w * (y - p)) - ridge * out)
+        out += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return out
 
 
-def fit_matcher(x: np.ndarray, n_same: np.ndarray, months: np.ndarray, ridge: float = 1.0) -> MatchModel:
-    y = weak_labels(x, n_same, months)
-    x, months, y = x[y >= 0], months[y >= 0], y[y >= 0]
-    h, hy = _hidden_names(x, y, months)
+def fit_matcher(x: np.ndarray, n_same: np.ndarray, sim: np.ndarray, wide: np.ndarray, fold: np.ndarray, ridge: float = 1e-3) -> MatchModel:
+    """``fold`` (0 to 4) of a pair is that of its block.  The ridge is relative to the number of rows."""
+    y = weak_labels(x, n_same, sim)
+    x, wide, fold, y = x[y >= 0], wide[y >= 0], fold[y >= 0], y[y >= 0]
+    h, hy = _hidden_names(x, y, wide)
+    fold = np.concatenate([fold, fold[wide & (x[:, UNNAMED] == 0) & (x[:, NONE] == 0)]])
     x, y = np.concatenate([x, h]), np.concatenate([y, hy]).astype(float)
-    held = np.arange(len(x)) % 4 == 0
-    if len(x) == 0 or len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
-        held = np.zeros(len(x), bool)
-    mean, sd = (x.mean(0), np.maximum(x.std(0), 1e-6)) if len(x) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
-    z = np.concatenate([(x - mean) / sd, np.ones((len(x), 1))], axis=1)[~held]
-    t = y[~held]
-    w = np.zeros(len(FEATURES) + 1)
-    balance = np.where(t == 1, 0.5 / max(t.mean(), 1e-6), 0.5 / max(1 - t.mean(), 1e-6)) if len(t) else t
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (balance * (t - p)) - ridge * w
-        step = np.linalg.solve((z * (balance * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), grad)
-        w += step
-        if np.abs(step).max() < 1e-6:
-            break
-    model = MatchModel(mean, sd, w, np.array([-1.0, 1.0]), np.array([0.0, 1.0]))
-    check = held if held.any() else np.ones(len(x), bool)
-    if check.any():
-        model.knots, model.values = isotonic(model.margin(x[check]), y[check])
-    return model
+    if len(set(y.tolist())) < 2:  # nothing to learn from: an agreeing name and agreeing figures decide
+        plain = np.zeros(len(FEATURES) + 1)
+        plain[[SAME, CLOSE_NAME, OTHER, AGREE_FULL, AGREE_SHORT, DIFFER, -1]] = 2, 2, -8, 4, 2, -4, -1
+        return MatchModel(plain, np.array([-1.0, 1.0]), np.array([0.0, 1.0]))
+    w = _cells(x, y)
+    margin = np.zeros(len(x))
+    for k in range(5):
+        out = fold == k
+        if out.any():
+            inside = ~out if len(set(y[~out].tolist())) == 2 else np.ones(len(x), bool)
+            margin[out] = MatchModel(_logistic(x[inside], y[inside], w[inside], ridge * inside.sum()), margin, margin).margin(x[out])
+    return MatchModel(_logistic(x, y, w, ridge * len(x)), *isotonic(margin, y))
 
 
 def match_blocks(
@@ -467,6 +536,7 @@ def match_blocks(
     *,
     max_bucket: int = 64,
     max_labels: int = 40_000,
+    max_probe: int = 2_000,
     least: float = 0.5,
 ) -> DataFrame:
     """``block_id, territory_id, confidence``: the best territory of each block that has one.
@@ -474,7 +544,7 @@ def match_blocks(
     ``raw_blocks(row_no, block_id, mo, category_15, period, value)``, ``reference`` (territory versions)
     and ``official(date, territory_id, category, value)``.  Where figures cannot decide between the
     territories that share a block's name, or names between territories with the same figures, the
-    confidence is divided among them.
+    confidence is divided among them (by ``NOISE`` where one fits better).
 
     Defined edge cases: rows without block or territory id are left out; a block without name is matched
     by values, one without positive values by name; a repeated row counts once (of two values for one
@@ -487,7 +557,8 @@ def match_blocks(
     series = materialize(_series(figures, ["t"], "category", _month_of("date"), F.col("value"), F.col("value")).where(F.size("m") > 0), "figures")
     territories = _with_kin(_territory_rows(reference))
     territories = materialize(territories, "territories")
-    pairs = candidate_pairs(blocks, territories, series.join(territories.select("t"), "t", "left_semi"), max_bucket)
+    max_bucket = max(max_bucket, int(np.ceil(1 / least)))  # else a pair beyond it might still be confident
+    pairs = candidate_pairs(blocks, territories, series.join(territories.select("t"), "t", "left_semi"), max_bucket, max_probe)
 
     span = blocks.select(F.explode("m").alias("m")).unionByName(series.select(F.explode("m").alias("m"))).agg(F.min("m").alias("a"), F.max("m").alias("b")).first()
     first, n = (span.a, span.b - span.a + 1) if span.a is not None else (0, 1)
@@ -498,40 +569,44 @@ def match_blocks(
     )
     scored = materialize(joined.mapInPandas(_features(first, n), _SCORED), "scored")
     # pairs that agree in something are a small part of all candidates: they get three quarters of the sample
-    alike = (F.col("f1") > 0) | (F.col("f0") > 0.65) | ((F.col("f15") >= 0.6) & (F.col("f16") > 0))
+    alike = (F.col("sim") > ALIKE) | (F.col(f"f{AGREE_FULL}") + F.col(f"f{AGREE_SHORT}") >= 0.6)
     draw = lambda rows, n: rows.orderBy(F.xxhash64("b", "t"), "b", "t").limit(n)
-    sample = draw(scored.where(alike), max_labels * 3 // 4).unionByName(draw(scored.where(~alike), max_labels // 4)).toPandas()
-    model = spark.sparkContext.broadcast(fit_matcher(sample[_FEATURE_COLS].to_numpy(), sample["n_same"].to_numpy(), sample["months"].to_numpy()))
+    sample = draw(scored.where(alike), max_labels * 3 // 4).unionByName(draw(scored.where(~alike), max_labels // 4)).withColumn("fold", F.pmod(F.xxhash64("b"), F.lit(5))).toPandas()
+    model = spark.sparkContext.broadcast(fit_matcher(sample[_FEATURE_COLS].to_numpy(), *(sample[c].to_numpy() for c in ("n_same", "sim", "wide", "fold"))))
 
     def confidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[_FEATURE_COLS].to_numpy()
             p = model.value.probability(x) if len(x) else np.zeros(0)
-            p = np.where(x[:, 10] > 0, p / np.maximum(pdf["n_same"].to_numpy(), 1), p)
-            yield pd.DataFrame({"b": pdf["b"], "t": pdf["t"], "p": p, "margin": model.value.margin(x), "near": x[:, 7], "root": x[:, 1]})
+            none = x[:, NONE] > 0
+            p = np.where(none, p / np.maximum(pdf["n_same"].to_numpy(), 1), p)
+            fit = np.where(none, 0.0, np.exp(-pdf["away"].to_numpy() / NOISE))
+            yield pd.DataFrame({"b": pdf["b"], "t": pdf["t"], "p": p, "fit": fit, "name": (2 * (x[:, SAME] > 0) + (x[:, CLOSE_NAME] > 0)).astype(np.int32)})
 
-    rated = scored.mapInPandas(confidence, "b long, t long, p double, margin double, near double, root double").where(F.col("p") >= least)
+    rated = scored.mapInPandas(confidence, "b long, t long, p double, fit double, name int").where(F.col("p") >= least)
     best = rated.groupBy("b").agg(
-        F.max_by(F.struct("t", "p"), F.struct("root", "p", "margin", "near", (-F.col("t")).alias("nt"))).alias("m"),
-        F.max("root").alias("top_root"), F.count("*").alias("rivals"),
+        F.max_by(F.struct("t", "p", "fit", "name"), F.struct("name", "p", "fit", (-F.col("t")).alias("nt"))).alias("m"),
+        *[F.sum(F.when(F.col("name") == k, F.col("fit"))).alias(f"all{k}") for k in range(3)],
     )
-    # several territories with the same figures, and no name to tell them apart
-    chosen = F.when(F.col("top_root") == 0, F.col("m.p") / F.col("rivals")).otherwise(F.col("m.p"))
-    return best.select(F.col("b").alias("block_id"), F.col("m.t").alias("territory_id"), chosen.alias("confidence")).where(F.col("confidence") >= least)
+    # several territories of one name, or of none, with much the same figures
+    share = F.when(F.col("m.fit") > 0, F.col("m.fit") / F.element_at(F.array("all0", "all1", "all2"), F.col("m.name") + 1)).otherwise(1.0)
+    return best.select(F.col("b").alias("block_id"), F.col("m.t").alias("territory_id"), (F.col("m.p") * share).alias("confidence")).where(F.col("confidence") >= least)
 
 
 def _with_kin(territories: DataFrame) -> DataFrame:
-    """Per name: how many territories share its stem and kind, in all and in the same region."""
+    """Per name: how many territories share its stem and kind, or its stem, in all and in the same region."""
 
     def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(t, n, stem(parse_name(n)[0]), parse_name(n)[1], next((r for r in regions if r), "")) for t, names, regions in zip(pdf["t"], pdf["names"], pdf["regions"]) for n in names]
             yield pd.DataFrame(rows, columns=["t", "n", "root", "kind", "region"])
 
-    names = territories.mapInPandas(roots, "t long, n string, root string, kind string, region string")
-    once = names.select("t", "root", "kind", "region").distinct()
-    by_region = once.groupBy("root", "kind", "region").agg(F.count("*").alias("rk"))
-    overall = by_region.groupBy("root", "kind").agg(F.sum("rk").alias("k"))
-    kin = names.join(by_region, ["root", "kind", "region"]).join(overall, ["root", "kind"])
-    back = kin.groupBy("t").agg(F.sort_array(F.collect_set(F.struct("n", "k", "rk"))).alias("x"))
-    return territories.select("t", "regions").join(back, "t", "left").select("t", F.coalesce("regions", F.array().cast("array<string>")).alias("regions"), F.coalesce(F.col("x.n"), F.array().cast("array<string>")).alias("names"), F.coalesce(F.col("x.k"), F.array().cast("array<bigint>")).alias("kin"), F.coalesce(F.col("x.rk"), F.array().cast("array<bigint>")).alias("region_kin"))
+    names = materialize(territories.mapInPandas(roots, "t long, n string, root string, kind string, region string"), "names")
+    counts = [names.groupBy(*by).agg(F.count_distinct("t").alias(c)) for c, by in (("k", ["root", "kind"]), ("rk", ["root", "kind", "region"]), ("s", ["root"]), ("rs", ["root", "region"]))]
+    kin = names
+    for c, by in zip(counts, (["root", "kind"], ["root", "kind", "region"], ["root"], ["root", "region"])):
+        kin = kin.join(c, by)
+    back = kin.groupBy("t").agg(F.sort_array(F.collect_set(F.struct("n", "k", "rk", "s", "rs"))).alias("x"))
+    empty = F.array().cast("array<struct<n:string,k:bigint,rk:bigint,s:bigint,rs:bigint>>")
+    x = F.coalesce("x", empty)
+    return territories.select("t", "regions").join(back, "t", "left").select("t", F.coalesce("regions", F.array().cast("array<string>")).alias("regions"), x["n"].alias("names"), x.alias("kin"))

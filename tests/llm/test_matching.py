@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from kronopanel.llm.matching import edit_distance, likeness, match_blocks, minhash_keys, parse_name, stem
+from kronopanel.llm.matching import FEATURES, edit_distance, fit_matcher, likeness, match_blocks, minhash_keys, parse_name, stem
 
 RAW = "row_no long, block_id long, mo string, category_15 string, period string, value double, t string, names string"
 REF = "territory_id int, oktmo string, municipal_district_name string, municipal_district_name_short string, municipal_district_type string, year_from int, year_to int, region_code string, b string"
@@ -84,3 +84,28 @@ def test_minhash_estimates_jaccard():
     a, b = base[:200], base[100:300]  # Jaccard 1/3
     same = (minhash_keys(a, 240, 1, 1) == minhash_keys(b, 240, 1, 1)).mean()
     assert abs(same - 1 / 3) < 0.1
+
+
+def test_stem_joins_a_place_with_its_adjective():
+    for place, adjective in (("разопраово", "разопраовский"), ("яручниица", "яручниицкий"), ("эльозлувка", "эльозлувский"), ("глинибхледол", "глинибхледольский"), ("яраллуск", "яраллуский"), ("ургерсуино", "ургерсуинский"), ("нырабривец", "нырабривецкий")):
+        assert stem(place) == stem(adjective)
+    assert stem("заречный") != stem("заречинский")
+
+
+def test_refits_on_other_draws_agree():
+    rng = np.random.default_rng(2)
+    n = 6000
+    name, value = rng.choice(4, n, p=[0.5, 0.1, 0.1, 0.3]), rng.choice(3, n)  # same, close, none, other; agrees, differs, no figures
+    short = rng.random(n) < 0.2
+    x = np.zeros((n, len(FEATURES)))
+    x[np.arange(n), name] = np.where(name == 1, rng.uniform(0.1, 0.9, n), 1.0)
+    agree = np.where(value == 0, rng.uniform(0.8, 1, n), rng.uniform(0, 0.3, n)) * (value != 2)
+    x[:, 8], x[:, 9], x[:, 10], x[:, 11] = agree * ~short, agree * short, (1 - agree) * (value != 2), value == 2
+    sim = np.select([name == 0, name == 1], [1.0, 0.65 + 0.35 * x[:, 1]], 0.1)
+    answers = []
+    for seed in range(8):
+        k = np.random.default_rng(seed).permutation(n)[:1500]
+        model = fit_matcher(x[k], np.ones(len(k), np.int64), sim[k], np.ones(len(k), bool), k % 5)
+        answers.append(model.probability(x) >= 0.5)
+    assert (np.stack(answers) == answers[0]).all(axis=0).mean() > 0.995
+    assert answers[0][(name == 1) & (value == 0)].all() and not answers[0][name == 3].any() and not answers[0][value == 1].any()

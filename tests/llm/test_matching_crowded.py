@@ -28,5 +28,5 @@ def test_crowded_keys_reach_the_territory_of_every_block(spark):
     blocks = M._block_rows(spark.createDataFrame(raw, "row_no long, block_id long, mo string, category_15 string, period string, value double"))
     figures = spark.createDataFrame(off, "date string, t long, category string, value long").withColumn("value", F.col("value").cast("double"))
     series = M._series(figures, ["t"], "category", M._month_of("date"), F.col("value"), F.col("value"))
-    got = {(r.b, r.t) for r in M.candidate_pairs(blocks, M._with_kin(M._territory_rows(reference)), series, 3).collect()}
+    got = {(r.b, r.t) for r in M.candidate_pairs(blocks, M._with_kin(M._territory_rows(reference)), series, 3, 0).collect()}
     assert want <= got, sorted(want - got)[:20]
