@@ -5,7 +5,7 @@ names are plainly different is never a match, so other keys could add nothing to
 (misspelt, abbreviated or missing names), and a bounded probe of the rest that shows the classifier
 what chance agreement looks like, use keys of every attribute: MinHash keys of the 3-grams of the stem,
 keys of an abbreviation's first letters, MinHash keys of the (month, level) cells of a series, where levels are
-logarithms modulo a factor 1000, so that a change of unit keeps them.  A series that is short or without
+logarithms modulo a factor 1000, so that a change of unit keeps them, and keys of its monthly changes, which any factor keeps.  A series that is short or without
 name also uses its runs of three months.
 
 A name key that more than ``max_bucket`` territories share makes no pairs by itself: its blocks are reached
@@ -17,7 +17,7 @@ and its confidence, divided among them, stays below ``least``.  Value keys alway
 Scoring.  Pairs get evidence of name, kind, region and values; a logistic classifier adds it up.  It is
 trained on weak labels (unambiguous pairs that agree or disagree in both attributes, also shown with the
 name hidden), in which every combination of evidence has the same weight, and calibrated by isotonic regression on margins
-of models that did not see the label (five folds).  The labelled sample is bounded by ``max_labels`` and the
+of models that did not see the label (five folds), for pairs with and without a name apart.  The labelled sample is bounded by ``max_labels`` and the
 probe by ``max_probe``; everything else covers all rows.
 """
 
@@ -52,6 +52,7 @@ VALUE_BANDS, VALUE_ROWS = 32, 4
 _LOG_UNIT = float(np.log(1000.0))
 LEVELS = 115  # levels per factor 1000: about 6 % each
 CELLS = 57  # levels of single cells: two grids, half a level apart, keep values up to 6 % apart together
+SHAPE_STEP = 0.01  # step of a monthly change in a key of shapes
 SHORT = 10
 PREFIX = (3, 4, 5)  # letters of an abbreviated name that make a key
 
@@ -118,13 +119,13 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 def likeness(a: str, b: str) -> float:
     """1 for equal stems, high for a slip or two of the pen, else the overlap of 3-grams."""
-    g, h = grams(a), grams(b)
-    a, b = stem(a), stem(b)
-    if a == b:
+    if stem(a) == stem(b):
         return 1.0
+    g, h = grams(a), grams(b)
     overlap = len(g & h) / len(g | h)
     most = 1 if min(len(a), len(b)) < 7 else 2
-    slips = edit_distance(a, b, most)
+    # a slip within the ending leaves a stem that is no stem, so whole words count as well
+    slips = min(edit_distance(a, b, most), edit_distance(stem(a), stem(b), most))
     return max(overlap, 0.94 - 0.12 * slips) if slips <= most else min(overlap, 0.6)
 
 
@@ -182,6 +183,19 @@ def run_keys(category: str, months: np.ndarray, values: np.ndarray) -> np.ndarra
     return np.concatenate(out)
 
 
+def shape_keys(category: str, months: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Keys of the changes within all runs of four months, whatever the level; a run without change has none."""
+    at = np.flatnonzero((months[3:] - months[:-3]) == 3) if len(months) > 3 else np.zeros(0, np.int64)
+    change = np.diff(np.log(values))
+    out = []
+    for grid, shift in enumerate((0.0, 0.5)):
+        step = np.clip(np.floor(change / SHAPE_STEP + shift), -400, 400).astype(np.int64) + 500
+        code = ((months[at] * 1000 + step[at]) * 1000 + step[at + 1]) * 1000 + step[at + 2]
+        moved = (np.abs(change[at]) + np.abs(change[at + 1]) + np.abs(change[at + 2])) > SHAPE_STEP
+        out.append(_mix(code[moved].astype(np.uint64) + np.uint64(_scatter(_hash(category) + grid + 21))))
+    return np.concatenate(out)
+
+
 def cell_keys(category: str, months: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Keys of all single months, on two grids of wide levels."""
     c = _hash(category)
@@ -261,7 +275,7 @@ def _wide_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 add.append(("prefix", prefix_keys(root, False)) if short else ("name", name_keys(root)))
             if cat is not None and len(m):
                 if len(m) >= SHORT:
-                    add.append(("value", value_keys(cat, m, v)))
+                    add += [("value", value_keys(cat, m, v)), ("shape", shape_keys(cat, m, v))]
                 if len(m) < SHORT or not root:  # nothing but values leads to a block without name
                     add.append(("run", run_keys(cat, m, v)))
             for kind, k in add:
@@ -289,6 +303,8 @@ def _linked_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             values = run_keys(cat, m, v) if cat is not None and len(m) else np.zeros(0, np.uint64)
             if cat is not None and len(m) and len(values) < 2 * SHORT:  # too few runs (on two grids) to outlast noise
                 values = cell_keys(cat, m, v)
+            if cat is not None and len(m) >= SHORT:
+                ids.append(b), kinds.append("shape"), keys.append(shape_keys(cat, m, v))
             for h in (int(x) & 0xFFFFFFFFFFFFFFFF for x in stems):
                 add = [("both", _pair(h, values))] if len(values) else []
                 add += [("kind", _of_kind(h, k, r)) for k, r in {(kind, ""), ("", region), (kind, region)} if k or r]
@@ -340,7 +356,7 @@ def _territory_value_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
         for t, cat, m, v in zip(pdf["t"], pdf["category"], pdf["m"], pdf["v"]):
             m, v = np.asarray(m, np.int64), np.asarray(v, float)
             if cat is not None and len(m):
-                for kind, k in (("value", value_keys(cat, m, v)), ("run", run_keys(cat, m, v))):
+                for kind, k in (("value", value_keys(cat, m, v)), ("run", run_keys(cat, m, v)), ("shape", shape_keys(cat, m, v))):
                     ids.append(t), kinds.append(kind), keys.append(k)
         yield _emit(ids, kinds, keys)
 
@@ -380,20 +396,21 @@ def candidate_pairs(blocks: DataFrame, territories: DataFrame, series: DataFrame
     parts = [
         left.join(few, ["kind", "key"]),
         linked.where("kind = 'both'").join(both, ["kind", "key"]),
-        linked.where("kind = 'kind'").join(few.where("kind = 'kind'"), ["kind", "key"]),
+        linked.where("kind in ('kind', 'shape')").join(few.where("kind in ('kind', 'shape')"), ["kind", "key"]),
     ]
     pairs = reduce(DataFrame.unionByName, [p.select(F.col("id").alias("b"), "t") for p in parts]).distinct()
     return pairs.join(wide.select("b", F.lit(True).alias("wide")), "b", "left").fillna(False, ["wide"])
 
 
 #: Months count as agreeing within CLOSE; the level itself must agree within LEVEL (a short series) or FIRM (a full one):
-#: wider than the noise of an export, narrower than a systematic factor of five per cent.
-CLOSE, LEVEL, FIRM = 0.06, 0.0475, 0.03
+#: wider than the noise of an export, narrower than a factor of five per cent.  Beyond that level a full series
+#: still agrees in shape, if its months keep one factor to the figures within TIGHT.
+CLOSE, LEVEL, FIRM, TIGHT = 0.06, 0.0475, 0.03, 0.005
 FULL = 8  # months from which a series is judged as a full one
 NOISE = 0.01  # usual distance of an export from the figures
 ALIKE = 0.65  # likeness from which a name counts as misspelt rather than another
-FEATURES = ("same_name", "close_name", "no_name", "other_name", "kind_same", "kind_other", "region_same", "region_other", "agree_full", "agree_short", "differ", "no_figures")
-SAME, CLOSE_NAME, UNNAMED, OTHER, KIND_OTHER, REGION_OTHER, AGREE_FULL, AGREE_SHORT, DIFFER, NONE = 0, 1, 2, 3, 5, 7, 8, 9, 10, 11
+FEATURES = ("same_name", "close_name", "no_name", "other_name", "kind_same", "kind_other", "region_same", "region_other", "agree_full", "agree_short", "agree_shape", "differ", "no_figures")
+SAME, CLOSE_NAME, UNNAMED, OTHER, KIND_OTHER, REGION_OTHER, AGREE_FULL, AGREE_SHORT, AGREE_SHAPE, DIFFER, NONE = 0, 1, 2, 3, 5, 7, 8, 9, 10, 11, 12
 _FEATURE_COLS = [f"f{i}" for i in range(len(FEATURES))]
 _SCORED = "b long, t long, wide boolean, n_same long, months int, sim double, away double, " + ", ".join(f"{c} double" for c in _FEATURE_COLS)
 
@@ -415,15 +432,17 @@ def _features(first_month: int, n_months: int):  # noqa: ANN202
             d = dense(pdf["bm"], pdf["bv"]) - dense(pdf["tm"], pdf["tv"])
             common = np.sum(~np.isnan(d), axis=1)
             some = common > 0
-            gap, close, away = np.full(len(d), 1.0), np.zeros(len(d)), np.full(len(d), 1.0)
+            gap, close, away, shape = np.full(len(d), 1.0), np.zeros(len(d)), np.full(len(d), 1.0), np.zeros(len(d))
             if some.any():
                 x = d[some]
+                shape[some] = np.nansum(np.abs(x - np.nanmedian(x, axis=1)[:, None]) < TIGHT, axis=1) / common[some]
                 x = x - (np.clip(np.round(np.nanmedian(x, axis=1) / _LOG_UNIT), -1, 1) * _LOG_UNIT)[:, None]
                 gap[some] = np.abs(np.nanmedian(x, axis=1))
                 close[some] = np.nansum(np.abs(x) < CLOSE, axis=1) / common[some]
                 away[some] = np.nanmedian(np.abs(x), axis=1)
             full = common >= FULL
             agree = close * (gap < np.where(full, FIRM, LEVEL))
+            shape = shape * full * (agree == 0)
             f = np.zeros((len(pdf), len(FEATURES)))
             same, sims = np.ones(len(pdf), np.int64), np.zeros(len(pdf))
             for i, (mo, names, regions, counts) in enumerate(zip(pdf["mo"], pdf["names"], pdf["regions"], pdf["kin"])):
@@ -440,30 +459,32 @@ def _features(first_month: int, n_months: int):  # noqa: ANN202
                 f[i, :8] = (sim == 1, (sim - ALIKE) / (1 - ALIKE) if ALIKE < sim < 1 else 0, not root, bool(root) and sim <= ALIKE, best[1] * (sim > 0.3), best[2] * (sim > 0.3), here, elsewhere)
                 k, rk, s, rs = best[3]
                 same[i] = max(1, (rk if here else k) if kind else (rs if here else s))
-            f[:, AGREE_FULL], f[:, AGREE_SHORT], f[:, DIFFER], f[:, NONE] = agree * full, agree * (some & ~full), (1 - agree) * some, ~some
+            f[:, AGREE_FULL], f[:, AGREE_SHORT], f[:, AGREE_SHAPE], f[:, DIFFER], f[:, NONE] = agree * full, agree * (some & ~full), shape, (1 - agree - shape) * some, ~some
             yield pd.DataFrame({"b": pdf["b"], "t": pdf["t"], "wide": pdf["wide"], "n_same": same, "months": common.astype(np.int32), "sim": sims, "away": away, **{c: f[:, j] for j, c in enumerate(_FEATURE_COLS)}})
 
     return run
 
 
 class MatchModel:
-    """Logistic regression and its isotonic calibration."""
-
-    def __init__(self, weights: np.ndarray, knots: np.ndarray, values: np.ndarray):
-        self.weights, self.knots, self.values = weights, knots, values
+    """Logistic regression and its isotonic calibrations: of pairs with a name, and of those without."""
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights[:-1] + self.weights[-1]
+    def __init__(self, weights: np.ndarray, named: tuple[np.ndarray, np.ndarray], unnamed: tuple[np.ndarray, np.ndarray]):
+        self.weights, self.named, self.unnamed = weights, named, unnamed
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return np.interp(self.margin(x), self.knots, self.values)
+        m = _margin(x, self.weights)
+        return np.where(x[:, UNNAMED] > 0, np.interp(m, *self.unnamed), np.interp(m, *self.named))
+
+
+def _margin(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return x @ weights[:-1] + weights[-1]
 
 
 def weak_labels(x: np.ndarray, n_same: np.ndarray, sim: np.ndarray) -> np.ndarray:
     """1 match, 0 no match, -1 unclear."""
     same, unnamed, none = x[:, SAME] > 0, x[:, UNNAMED] > 0, x[:, NONE] > 0
-    agree = x[:, AGREE_FULL] + x[:, AGREE_SHORT]
-    agrees, differs = ~none & (agree >= 0.6), ~none & (agree < 0.4)
+    agree = x[:, AGREE_FULL : DIFFER].sum(1)
+    agrees, differs = ~none & (agree >= 0.6), ~none & (agree < np.where(x[:, AGREE_FULL] > 0, 0.6, 0.4))
     here = x[:, REGION_OTHER] == 0
     other = ~unnamed & (sim < 0.3)
     y = np.full(len(x), -1)
@@ -488,8 +509,8 @@ def _hidden_names(x: np.ndarray, y: np.ndarray, wide: np.ndarray) -> tuple[np.nd
 def _cells(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights by which every combination of name, values and label counts alike within its label."""
     name = np.argmax(np.stack([x[:, SAME], (x[:, CLOSE_NAME] > 0) + 0.0, x[:, UNNAMED], x[:, OTHER]], axis=1), axis=1)
-    value = np.argmax(np.stack([x[:, NONE], x[:, AGREE_FULL], x[:, AGREE_SHORT], x[:, DIFFER]], axis=1), axis=1)
-    _, cell, n = np.unique((name * 4 + value) * 2 + y.astype(int), return_inverse=True, return_counts=True)
+    value = np.argmax(x[:, AGREE_FULL:], axis=1)
+    _, cell, n = np.unique((name * 5 + value) * 2 + y.astype(int), return_inverse=True, return_counts=True)
     w = 1.0 / n[cell]
     for label in (0, 1):
         w[y == label] *= 0.5 / max(w[y == label].sum(), 1e-12)
@@ -517,16 +538,18 @@ def fit_matcher(x: np.ndarray, n_same: np.ndarray, sim: np.ndarray, wide: np.nda
     x, y = np.concatenate([x, h]), np.concatenate([y, hy]).astype(float)
     if len(set(y.tolist())) < 2:  # nothing to learn from: an agreeing name and agreeing figures decide
         plain = np.zeros(len(FEATURES) + 1)
-        plain[[SAME, CLOSE_NAME, OTHER, AGREE_FULL, AGREE_SHORT, DIFFER, -1]] = 2, 2, -8, 4, 2, -4, -1
-        return MatchModel(plain, np.array([-1.0, 1.0]), np.array([0.0, 1.0]))
+        plain[[SAME, CLOSE_NAME, OTHER, AGREE_FULL, AGREE_SHORT, AGREE_SHAPE, DIFFER, -1]] = 2, 2, -8, 4, 2, 2, -4, -1
+        return MatchModel(plain, *[(np.array([-1.0, 1.0]), np.array([0.0, 1.0]))] * 2)
     w = _cells(x, y)
     margin = np.zeros(len(x))
     for k in range(5):
         out = fold == k
         if out.any():
             inside = ~out if len(set(y[~out].tolist())) == 2 else np.ones(len(x), bool)
-            margin[out] = MatchModel(_logistic(x[inside], y[inside], w[inside], ridge * inside.sum()), margin, margin).margin(x[out])
-    return MatchModel(_logistic(x, y, w, ridge * len(x)), *isotonic(margin, y))
+            margin[out] = _margin(x[out], _logistic(x[inside], y[inside], w[inside], ridge * inside.sum()))
+    named = x[:, UNNAMED] == 0
+    both = [isotonic(margin[k], y[k], edges=True) if len(set(y[k].tolist())) == 2 else isotonic(margin, y, edges=True) for k in (named, ~named)]
+    return MatchModel(_logistic(x, y, w, ridge * len(x)), *both)
 
 
 def match_blocks(
@@ -569,7 +592,7 @@ def match_blocks(
     )
     scored = materialize(joined.mapInPandas(_features(first, n), _SCORED), "scored")
     # pairs that agree in something are a small part of all candidates: they get three quarters of the sample
-    alike = (F.col("sim") > ALIKE) | (F.col(f"f{AGREE_FULL}") + F.col(f"f{AGREE_SHORT}") >= 0.6)
+    alike = (F.col("sim") > ALIKE) | (F.col(f"f{AGREE_FULL}") + F.col(f"f{AGREE_SHORT}") + F.col(f"f{AGREE_SHAPE}") >= 0.6)
     draw = lambda rows, n: rows.orderBy(F.xxhash64("b", "t"), "b", "t").limit(n)
     sample = draw(scored.where(alike), max_labels * 3 // 4).unionByName(draw(scored.where(~alike), max_labels // 4)).withColumn("fold", F.pmod(F.xxhash64("b"), F.lit(5))).toPandas()
     model = spark.sparkContext.broadcast(fit_matcher(sample[_FEATURE_COLS].to_numpy(), *(sample[c].to_numpy() for c in ("n_same", "sim", "wide", "fold"))))

@@ -120,18 +120,22 @@ def _fit_ranker(x: np.ndarray, level: np.ndarray, max_pairs: int, ridge: float =
     return w
 
 
-def isotonic(score: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots and non-decreasing values."""
+def isotonic(score: np.ndarray, level: np.ndarray, *, edges: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: knots and non-decreasing values.
+
+    A pool has one knot, at its mean score, or with ``edges`` two, at its least and greatest score: for
+    labels that separate, where the middle of the gap is meant to count as undecided.
+    """
     order = np.argsort(score, kind="stable")
-    blocks: list[list[float]] = []  # mean, weight, mean score
+    pools: list[list[float]] = []  # mean, weight, mean score, least, greatest
     for s, y in zip(score[order], level[order].astype(float)):
-        blocks.append([y, 1.0, s])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            y2, w2, s2 = blocks.pop()
-            y1, w1, s1 = blocks[-1]
-            blocks[-1] = [(y1 * w1 + y2 * w2) / (w1 + w2), w1 + w2, (s1 * w1 + s2 * w2) / (w1 + w2)]
-    b = np.array(blocks)
-    return b[:, 2], b[:, 0]
+        pools.append([y, 1.0, s, s, s])
+        while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
+            y2, w2, s2, _, most = pools.pop()
+            y1, w1, s1, least, _ = pools[-1]
+            pools[-1] = [(y1 * w1 + y2 * w2) / (w1 + w2), w1 + w2, (s1 * w1 + s2 * w2) / (w1 + w2), least, most]
+    b = np.array(pools)
+    return (b[:, 3:].reshape(-1), np.repeat(b[:, 0], 2)) if edges else (b[:, 2], b[:, 0])
 
 
 def fit_levels(graded: DataFrame, *, text: str = "text", level: str = "level", max_graded: int = 20_000, max_pairs: int = 200_000) -> LevelModel:
