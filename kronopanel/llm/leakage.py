@@ -1,21 +1,29 @@
 """Evaluation texts leaking into training text, by latent semantic retrieval.
 
-1. The words of the evaluation passages are counted over all documents (document frequencies).
-2. The TF-IDF matrix of the passages is factorised by a distributed randomised SVD.  A document
-   direction outside the span of the passages adds nothing to a scalar product with one of them, so
-   their own singular vectors are the basis that loses least.
-3. Every document is read in windows of ``WINDOW`` words; a window's latent cosine with a passage
-   makes (document, item) a candidate.
-4. A candidate is checked exactly on the whole text: each sentence of the passage must recur in one
+1. Items of equal passage and answer form one class; what is found for a class holds for all its members.
+   A sentence that ``stock_from`` different passages share is an instruction and no part of a passage,
+   counted over the whole evaluation set.
+2. Words are counted over all documents (document frequencies): those of the passages one by one,
+   all others by hash.
+3. A distributed randomised SVD factorises the TF-IDF matrix of text windows of ``WINDOW`` words (a bounded
+   sample, ``max_fit`` documents) and of the passages, which together carry ``PASSAGE_SHARE`` of its energy.
+   Its rank lies well below the number of passages (or, of a few passages, at two for each), so that words that
+   occur in the same windows fall together.
+4. Every window of every document is projected into the latent space; its cosine there with a passage
+   makes (document, class) a candidate.
+5. A candidate is checked exactly on the whole text: each sentence of the passage must recur in one
    place of the text, by longest common subsequence and by weight of shared words.  An item is held
    if the recurring sentences make up half of the passage; just below it, its answer must occur too.
 
-The evaluation set is a stated query set, taken in blocks of ``block_items``; documents are mapped
-where they lie, without a shuffle, and nothing about a document leaves its task but its findings.
+The evaluation set is a stated query set, taken in blocks of about ``block_items`` classes, one of which is on the
+driver at a time; documents are mapped where they lie, without a shuffle, and nothing about a document leaves
+its task but its findings.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,35 +34,71 @@ from pyspark.sql import functions as F
 
 from kronopanel.llm.codepoints import Words, slices
 from kronopanel.llm.latent import randomized_svd
+from kronopanel.session import materialize
 
 WINDOW = 24
+PASSAGE_SHARE = 0.25
+OTHER_WORDS = 1 << 14  # hashed terms of words that no passage holds
 FRAGMENT = 8  # fewest words of a sentence that count as its beginning or end
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _SLICE = 300_000
 
 
+def _sentences(passages: list[str | None]) -> list[list[np.ndarray]]:
+    """Word codes of each sentence of each passage."""
+    texts, of = [], []
+    for k, p in enumerate(passages):
+        for s in _SENTENCE.split(p or ""):
+            texts.append(s)
+            of.append(k)
+    w = Words(texts)
+    b = w.bounds()
+    out: list[list[np.ndarray]] = [[] for _ in passages]
+    for s, k in enumerate(of):
+        if b[s + 1] > b[s]:
+            out[k].append(w.code[b[s] : b[s + 1]])
+    return out
+
+
+def _digest(codes: np.ndarray) -> int:
+    """One signed 64-bit number of a sequence of word codes."""
+    return int.from_bytes(hashlib.blake2b(codes.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _classes(items: DataFrame) -> DataFrame:
+    """``i, class, passage, p, a, stock``: items with their class, and the digests of their sentences."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sentences = _sentences(pdf["p"].tolist())
+            answers = _sentences([x if isinstance(x, str) else None for x in pdf["a"]])
+            whole = [np.concatenate([np.zeros(0, np.uint64), *s]) for s in sentences]
+            mark = np.zeros(1, np.uint64)
+            yield pd.DataFrame({
+                "i": pdf["i"], "p": pdf["p"], "a": pdf["a"], "passage": [_digest(w) for w in whole], "size": [len(w) for w in whole],
+                "class": [_digest(np.concatenate([w, mark, *a])) for w, a in zip(whole, answers)], "sentences": [[_digest(c) for c in s] for s in sentences],
+            })
+
+    return items.mapInPandas(run, "i long, p string, a string, passage long, size long, class long, sentences array<long>").where("size > 0")
+
+
 class Passages:
-    """The evaluation set: its vocabulary, its sentences and their weights."""
+    """A block of the evaluation set: its vocabulary, its sentences and their weights."""
 
-    def __init__(self, items: pd.DataFrame, stock_from: int):
+    def __init__(self, items: pd.DataFrame):
+        """``items(i, p, a, stock)``: class number, passage, answer, digests of sentences many passages share."""
         self.ids = items["i"].to_numpy(np.int64)
-        texts, of = [], []
-        for k, p in enumerate(items["p"]):
-            for s in _SENTENCE.split(p or ""):
-                texts.append(s)
-                of.append(k)
-        w = Words(texts)
-        b = w.bounds()
-        sentences = [(of[s], w.code[b[s] : b[s + 1]]) for s in range(len(texts)) if b[s + 1] > b[s]]
-        seen: dict[bytes, set[int]] = {}
-        for k, codes in sentences:
-            seen.setdefault(codes.tobytes(), set()).add(k)
-        # a sentence that several items share is an instruction, not part of a passage
-        sentences = [(k, c) for k, c in sentences if len(seen[c.tobytes()]) < stock_from]
-        self.terms = np.unique(np.concatenate([c for _, c in sentences])) if sentences else np.zeros(0, np.uint64)
-        self.sentences: list[list[np.ndarray]] = [[] for _ in self.ids]
-        for k, c in sentences:
-            self.sentences[k].append(np.searchsorted(self.terms, c))
+        kept = []
+        for own, stock in zip(_sentences(items["p"].tolist()), items["stock"]):
+            stock = set(stock if stock is not None else ())
+            rest = [c for c in own if _digest(c) not in stock]
+            # most of several sentences shared: a family of much the same passages, not an instruction
+            family = len(own) - len(rest) > 1 and sum(map(len, rest)) < sum(map(len, own)) / 2
+            kept.append(own if family else rest)
+        sentences = [c for own in kept for c in own]
+        self.terms = np.unique(np.concatenate(sentences)) if sentences else np.zeros(0, np.uint64)
+        self.n_terms = len(self.terms) + OTHER_WORDS
+        self.sentences = [[np.searchsorted(self.terms, c) for c in own] for own in kept]
         a = Words([x if isinstance(x, str) else None for x in items["a"]])
         ab = a.bounds()
         self.answers = [a.code[ab[k] : ab[k + 1]] for k in range(len(self.ids))]
@@ -64,9 +108,12 @@ class Passages:
         at = np.minimum(np.searchsorted(self.terms, codes), len(self.terms) - 1)
         return np.where(self.terms[at] == codes, at, -1)
 
+    def term_of(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Term of each word: its place in the vocabulary, or behind it one of the hashed terms."""
+        return np.where(at >= 0, at, len(self.terms) + (codes >> np.uint64(40)).astype(np.int64) % OTHER_WORDS)
+
     def weigh(self, df: np.ndarray, n_docs: int) -> None:
         self.idf = np.maximum(np.log((n_docs + 1.0) / (df + 1.0)), 0.05)
-        self.unknown = float(np.log(n_docs + 1.0)) or 1.0
         self.checks = []
         for own in self.sentences:
             terms = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
@@ -166,61 +213,76 @@ def _has_answer(answer: np.ndarray, codes: np.ndarray) -> bool:
 
 
 def _frequencies(documents: DataFrame, passages: Passages) -> tuple[np.ndarray, int]:
-    """Document frequency of every passage word, and the number of documents."""
+    """Document frequency of every term, and the number of documents."""
     shared = documents.sparkSession.sparkContext.broadcast(passages)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = shared.value
-        total = np.zeros(len(p.terms) + 1, np.int64)
+        total = np.zeros(p.n_terms + 1, np.int64)
         for pdf in batches:
             texts = [t if isinstance(t, str) else None for t in pdf["t"]]
             total[-1] += len(texts)
             for a, b in slices(texts):
                 w = Words(texts[a:b])
-                at = p.lookup(w.code)
-                known = at >= 0
-                pairs = np.unique(w.doc[known] * len(p.terms) + at[known])
-                total[:-1] += np.bincount(pairs % len(p.terms), minlength=len(p.terms))
+                pairs = np.unique(w.doc * p.n_terms + p.term_of(w.code, p.lookup(w.code)))
+                total[:-1] += np.bincount(pairs % p.n_terms, minlength=p.n_terms)
         some = np.flatnonzero(total)
         yield pd.DataFrame({"term": some.astype(np.int32), "n": total[some]})
 
     got = documents.select("t").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(len(passages.terms) + 1, np.int64)
+    df = np.zeros(passages.n_terms + 1, np.int64)
     df[got["term"].to_numpy()] = got["n"].to_numpy()
     shared.unpersist()
     return df[:-1], int(df[-1])
 
 
+def _windows(w: Words) -> np.ndarray:
+    """First word of every window."""
+    first = w.bounds()
+    place = np.arange(len(w.doc)) - first[w.doc]
+    return np.flatnonzero(place % WINDOW == 0)
+
+
+def _fit_rows(documents: DataFrame, passages: Passages, max_fit: int) -> DataFrame:
+    """TF-IDF rows (``terms, weights``) of unit length: windows of at most ``max_fit`` documents, and the passages."""
+    spark = documents.sparkSession
+    shared = spark.sparkContext.broadcast(passages)
+    chosen = documents.select("d").distinct().orderBy(F.xxhash64("d"), "d").limit(max_fit)  # its bound is the parameter
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = shared.value
+        for pdf in batches:
+            texts = [t if isinstance(t, str) else None for t in pdf["t"]]
+            for a, b in slices(texts):
+                w = Words(texts[a:b])
+                term = p.term_of(w.code, p.lookup(w.code))
+                rows = np.split(term, _windows(w)[1:]) if len(term) else []
+                yield pd.DataFrame({"terms": rows, "weights": [p.idf[r] / np.sqrt((p.idf[r] ** 2).sum()) for r in rows]})
+
+    sample = documents.join(F.broadcast(chosen), "d", "left_semi").select("t").mapInPandas(windows, "terms array<int>, weights array<double>")
+    sample = materialize(sample.limit(32 * max_fit), "windows")
+    own = [np.unique(np.concatenate(o)) for o in passages.sentences if o]
+    energy = sample.count() * PASSAGE_SHARE / (1 - PASSAGE_SHARE) or 1.0
+    scale = [math.sqrt(energy / len(own) / (passages.idf[t] ** 2).sum()) for t in own]
+    return sample.unionByName(spark.createDataFrame([(t.tolist(), (passages.idf[t] * c).tolist()) for t, c in zip(own, scale)], "terms array<int>, weights array<double>"))
+
+
 class LatentIndex:
     """Word factors (weighted) and unit passage vectors in the latent space."""
 
     def __init__(self, passages: Passages, v: np.ndarray):
         self.words = (passages.idf[:, None] * v).astype(np.float32)
-        rows, norm = [], []
-        for own in passages.sentences:
-            terms = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
-            rows.append(self.words[terms].sum(0))
-            norm.append(float(np.sqrt((passages.idf[terms] ** 2).sum())) or 1.0)
-        self.items = (np.stack(rows) / np.array(norm)[:, None]).astype(np.float32)
+        rows = [self.words[np.unique(np.concatenate(own))].sum(0) if own else np.zeros(v.shape[1], np.float32) for own in passages.sentences]
+        items = np.stack(rows)
+        self.items = (items / np.maximum(np.linalg.norm(items, axis=1), 1e-9)[:, None]).astype(np.float32)
 
-    def candidates(self, w: Words, at: np.ndarray, passages: Passages, cosine: float) -> np.ndarray:
+    def candidates(self, w: Words, term: np.ndarray, cosine: float) -> np.ndarray:
         """Pairs (text number, item number) of which some window is close enough."""
-        known = np.flatnonzero(at >= 0)
-        first = w.bounds()
-        window = (np.arange(len(at)) - first[w.doc]) // WINDOW
-        new = np.ones(len(at), bool)
-        new[1:] = (window[1:] != window[:-1]) | (w.doc[1:] != w.doc[:-1])
-        g = np.cumsum(new) - 1
-        weight = np.where(at >= 0, passages.idf[at], passages.unknown)
-        norm = np.sqrt(np.bincount(g, weights=weight * weight))
-        gk = g[known]
-        heads = np.flatnonzero(np.concatenate(([True], gk[1:] != gk[:-1])))
-        latent = np.add.reduceat(self.words[at[known]], heads, axis=0)
-        own = gk[heads]
-        close = (latent @ self.items.T) >= (cosine * norm[own])[:, None].astype(np.float32)
+        heads = _windows(w)
+        latent = np.add.reduceat(self.words[term], heads, axis=0)
+        close = (latent @ self.items.T) >= (cosine * np.maximum(np.linalg.norm(latent, axis=1), 1e-9))[:, None]
         win, item = np.nonzero(close)
-        doc = w.doc[np.flatnonzero(new)][own[win]]
-        return np.unique(np.stack([doc, item], axis=1), axis=0)
+        return np.unique(np.stack([w.doc[heads[win]], item], axis=1), axis=0)
 
 
 def leaked_items(
@@ -232,36 +294,39 @@ def leaked_items(
     item_id: str = "item_id",
     passage: str = "passage",
     answer: str = "answer",
-    rank: int = 256,
-    cosine: float = 0.2,
+    rank: int = 96,
+    cosine: float = 0.55,
     min_order: float = 0.65,
     min_weight: float = 0.75,
     half: float = 0.5,
     near_half: float = 0.45,
     stock_from: int = 3,
     block_items: int = 4000,
+    max_fit: int = 2000,
 ) -> DataFrame:
     """``doc_id, item_id, held, has_answer``: documents that hold at least half of an item's passage.
 
     Defined edge cases: a NULL or empty text or passage holds and is nothing; a document or item without
-    id is left out; a repeated item counts once; repeated documents are each reported; a passage made of
-    stock sentences only (shared by ``stock_from`` items) is never reported; empty tables give an empty
-    result; other columns are ignored.
+    id is left out; a repeated item counts once, items of equal passage and answer are each reported;
+    repeated documents are each reported; a passage of one sentence that ``stock_from`` different passages
+    share is never reported; empty tables give an empty result; other columns are ignored.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where("d is not null")
     known = items.select(F.col(item_id).cast("long").alias("i"), F.col(passage).alias("p"), F.col(answer).alias("a")).where("i is not null and p is not null")
-    known = known.groupBy("i").agg(F.min(F.struct("p", "a")).alias("r")).select("i", "r.*").orderBy("i").toPandas()
+    known = materialize(_classes(known.groupBy("i").agg(F.min(F.struct("p", "a")).alias("r")).select("i", "r.*")), "items")
+    shared_by = known.select("passage", F.explode(F.array_distinct("sentences")).alias("s")).distinct().groupBy("s").agg(F.count("*").alias("n"))
+    stock = known.select("class", F.explode("sentences").alias("s")).join(shared_by.where(F.col("n") >= stock_from), "s").groupBy("class").agg(F.collect_set("s").alias("stock"))
+    classes = known.groupBy("class").agg(F.min(F.struct("p", "a")).alias("r")).select(F.col("class").alias("i"), "r.*").join(stock.withColumnRenamed("class", "i"), "i", "left")
+    classes = materialize(classes, "classes")
+    blocks = max(1, math.ceil(classes.count() / block_items))
     out = None
-    for start in range(0, len(known), block_items):
-        block = known.iloc[start : start + block_items]
-        passages = Passages(block, stock_from)
+    for number in range(blocks):
+        passages = Passages(classes.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == number).orderBy("i").toPandas())
         if not len(passages.terms):
             continue
         passages.weigh(*_frequencies(docs, passages))
-        rows = [(t.tolist(), passages.idf[t].tolist()) for own in passages.sentences if own for t in [np.unique(np.concatenate(own))]]
-        matrix = spark.createDataFrame(rows, "terms array<int>, weights array<double>")
-        v, _ = randomized_svd(matrix, len(passages.terms), min(rank, len(rows)))
+        v, _ = randomized_svd(_fit_rows(docs, passages, max_fit), passages.n_terms, min(rank, 2 * len(passages.ids)))
         shared = spark.sparkContext.broadcast((passages, LatentIndex(passages, v)))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -275,7 +340,7 @@ def leaked_items(
                         continue
                     first = w.bounds()
                     found = []
-                    for d, k in index.candidates(w, at, p, cosine):
+                    for d, k in index.candidates(w, p.term_of(w.code, at), cosine):
                         span = slice(first[d], first[d + 1])
                         held = _held(p, k, at[span], min_order, min_weight, near_half)
                         if held >= near_half:
@@ -283,8 +348,10 @@ def leaked_items(
                             if held >= half or has:
                                 found.append((ids[a + d], p.ids[k], held, has))
                     if found:
-                        yield pd.DataFrame(found, columns=["doc_id", "item_id", "held", "has_answer"])
+                        yield pd.DataFrame(found, columns=["doc_id", "class", "held", "has_answer"])
 
-        part = docs.mapInPandas(scan, "doc_id long, item_id long, held double, has_answer boolean")
+        part = docs.mapInPandas(scan, "doc_id long, class long, held double, has_answer boolean")
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, held double, has_answer boolean")
+    if out is None:
+        return spark.createDataFrame([], "doc_id long, item_id long, held double, has_answer boolean")
+    return out.join(known.select("class", F.col("i").alias("item_id")), "class").select("doc_id", "item_id", "held", "has_answer")

@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pandas as pd
 
 from kronopanel.llm.codepoints import Words
 from kronopanel.llm.latent import randomized_svd
-from kronopanel.llm.leakage import common_subsequence, leaked_items
+from kronopanel.llm.leakage import LatentIndex, Passages, _fit_rows, _frequencies, common_subsequence, leaked_items
 
 D = "doc_id long, text string, item_id string, held string, lang string"
 I = "item_id long, passage string, answer string, doc_id string"  # noqa: E741
@@ -89,3 +90,34 @@ def test_words_fold_case_lookalikes_and_number_marks():
     long = Words(["слово " * 50000 + "конец", None, "", "конец"])
     assert long.code[50000] == long.code[-1] and len(set(long.code[:50000].tolist())) == 1
     assert long.bounds().tolist() == [0, 50001, 50001, 50001, 50002]
+
+
+def test_repeated_items_and_shared_sentences_across_blocks(spark):
+    """Items of several suites are each reported; an instruction is found whatever block its items fall in."""
+    items, docs, true = corpus()
+    items += [(100 + k, p, a, d) for k, p, a, d in items[:2]] + [(200 + k, p, a, d) for k, p, a, d in items[:2]]
+    true |= {(d, i + base) for d, i in true for base in (100, 200) if i < 2}
+    docs += [(902, "Ответьте на вопрос. " * 50, "", "", "")]
+    for block_items in (4000, 5, 1):
+        out = leaked_items(spark.createDataFrame(docs, D), spark.createDataFrame(items, I), block_items=block_items).collect()
+        assert {(r.doc_id, r.item_id) for r in out} == true, block_items
+        assert len(out) == len(true)
+
+
+def test_latent_space_reaches_a_paraphrase_that_shares_no_weight(spark):
+    """Words used in the same windows fall together, so a window in other words is close to the passage."""
+    rnd = random.Random(11)
+    topics = [(vocabulary(12, 100 + k), vocabulary(12, 500 + k)) for k in range(30)]  # two wordings of each topic
+    mixed = [" ".join(rnd.choice(rnd.choice(t)) for _ in range(24)) for t in topics for _ in range(40)]
+    passages = Passages(pd.DataFrame({"i": range(30), "p": [" ".join(t[0]) + "." for t in topics], "a": None, "stock": None}))
+    docs = spark.createDataFrame(list(enumerate(mixed)), "d long, t string")
+    passages.weigh(*_frequencies(docs, passages))
+    v, _ = randomized_svd(_fit_rows(docs, passages, 2000), passages.n_terms, 20)
+    w = Words([" ".join(rnd.choice(t[1]) for _ in range(24)) for t in topics])
+    at = passages.lookup(w.code)
+    own = {(k, k) for k in range(30)}
+    shared = sum((at[w.doc == k] >= 0).sum() for k in range(30))
+    assert shared < 0.05 * len(at)  # the plain cosine is about nothing
+    got = {tuple(x) for x in LatentIndex(passages, v).candidates(w, passages.term_of(w.code, at), 0.55).tolist()}
+    assert len(own & got) >= 27
+    assert len(got) < 200
