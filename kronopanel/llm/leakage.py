@@ -114,7 +114,7 @@ class Passages:
 
     def weigh(self, df: np.ndarray, n_docs: int) -> None:
         self.idf = np.maximum(np.log((n_docs + 1.0) / (df + 1.0)), 0.05)
-        self.checks = []
+        self.checks, self.bounds = [], []
         for own in self.sentences:
             terms = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
             weight = np.zeros((len(terms) + 1, len(own)))  # the last row: not a word of the item
@@ -123,7 +123,9 @@ class Passages:
                 loc = np.searchsorted(terms, s)
                 weight[loc, j] = self.idf[s]
                 local.append(loc)
-            self.checks.append((terms, weight, local, weight.sum(0), [fragments(s) for s in local]))
+            self.checks.append((terms, weight, local, weight.sum(0), [fragments(s) for s in own], np.concatenate([np.zeros(0, np.uint64), *[fragments(s) for s in own]])))
+            count = np.stack([np.bincount(loc, minlength=len(terms)) for loc in local], axis=1) if local else np.zeros((0, 0))
+            self.bounds.append((np.concatenate([weight[:-1], count], axis=1).astype(np.float32), np.array([len(x) for x in local])))
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -141,39 +143,53 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def _held(passages: Passages, k: int, words: np.ndarray, min_order: float, min_weight: float, least: float) -> float:
+def _possible(passages: Passages, k: int, there: np.ndarray, min_weight: float) -> float:
+    """The most of passage ``k`` that the checks of ``_held`` can accept in a text with the words marked in ``there``.
+
+    No pair of neighbours need survive: words may be put between any two.
+    """
+    both, sizes = passages.bounds[k]
+    if not len(sizes):
+        return 0.0
+    got = there[passages.checks[k][0]].astype(np.float32) @ both
+    total, n = passages.checks[k][3], len(sizes)
+    most = np.where(got[:n] >= min_weight * total - 1e-3, sizes, np.where(got[:n] >= total / 4 - 1e-3, got[n:], 0))
+    return float(most.sum() / sizes.sum())
+
+
+def _held(passages: Passages, k: int, words: np.ndarray, there: np.ndarray, min_order: float, min_weight: float, least: float) -> float:
     """Share of passage ``k`` that recurs in ``words`` (vocabulary indices): sentences, and cut ones beside them.
 
-    0 if that share cannot reach ``least``: too few of its words occur at all.
+    ``there`` are the sorted fragments of the text.  0 if the share cannot reach ``least``.
     """
-    terms, weight, local, total, runs = passages.checks[k]
-    all_words = sum(len(s) for s in local)
+    terms, weight, local, total, runs, all_runs = passages.checks[k]
+    sizes = passages.bounds[k][1]
+    all_words = int(sizes.sum())
     if not all_words:
         return 0.0
     loc = np.searchsorted(terms, words)
     loc = np.where(terms[np.minimum(loc, len(terms) - 1)] == words, loc, len(terms))
-    present = np.zeros(len(terms) + 1)
-    present[loc] = 1
-    # what the checks below can accept at most: no pair of neighbours need survive, words may be put between any two
-    shown = present @ weight
-    most = sum(len(s) if shown[j] >= min_weight * total[j] else present[s].sum() if shown[j] >= total[j] / 4 else 0 for j, s in enumerate(local))
-    if most < least * all_words:
-        return 0.0
     run = np.zeros((len(loc) + 1, len(local)))
     np.cumsum(weight[loc], axis=0, out=run[1:])
+    spans = np.minimum(len(loc), sizes + sizes // 2 + 4)
+    # within the longest span no sentence gathers less than within its own
+    likely = (run[spans.max() :] - run[: len(run) - spans.max()]).max(axis=0) >= min_weight * total - 1e-9
+    missing = least * all_words - sizes[likely].sum()
+    if missing > 0:  # only parts of sentences can make up for it: hits next to each other share all but one of their words
+        hits = np.count_nonzero(there[np.minimum(np.searchsorted(there, all_runs), len(there) - 1)] == all_runs) if len(there) else 0
+        if hits + (FRAGMENT - 1) * min(hits, len(local)) < missing:
+            return 0.0
     held, cut = 0, []
     for j, s in enumerate(local):
-        span = min(len(loc), len(s) + len(s) // 2 + 4)
-        sums = run[span:, j] - run[: len(run) - span, j]
-        best = int(np.argmax(sums))
-        part = loc[max(0, best - span // 3) : best + span + span // 3]
-        shared = weight[np.unique(part), j].sum() if sums[best] >= min_weight * total[j] else 0.0
-        if shared >= min_weight * total[j] and common_subsequence(s, part) >= min_order * len(s):
-            held += len(s)
-        else:
-            cut.append(j)
+        if likely[j]:
+            sums = run[spans[j] :, j] - run[: len(run) - spans[j], j]
+            best = int(np.argmax(sums))
+            part = loc[max(0, best - spans[j] // 3) : best + spans[j] + spans[j] // 3]
+            if sums[best] >= min_weight * total[j] and weight[np.unique(part), j].sum() >= min_weight * total[j] and common_subsequence(s, part) >= min_order * len(s):
+                held += len(s)
+                continue
+        cut.append(j)
     if held < 0.5 * all_words:  # the passage may begin or end within a sentence
-        there = np.sort(fragments(loc))
         for j in cut:
             size, end = longest_run(runs[j], there)
             if size and weight[np.unique(local[j][end - size : end]), j].sum() >= total[j] / 4:
@@ -271,7 +287,7 @@ class LatentIndex:
     """Word factors (weighted) and unit passage vectors in the latent space."""
 
     def __init__(self, passages: Passages, v: np.ndarray):
-        self.words = (passages.idf[:, None] * v).astype(np.float32)
+        self.words = np.concatenate([passages.idf[:, None] * v, np.zeros((1, v.shape[1]))]).astype(np.float32)  # the last: no word
         rows = [self.words[np.unique(np.concatenate(own))].sum(0) if own else np.zeros(v.shape[1], np.float32) for own in passages.sentences]
         items = np.stack(rows)
         self.items = (items / np.maximum(np.linalg.norm(items, axis=1), 1e-9)[:, None]).astype(np.float32)
@@ -279,7 +295,11 @@ class LatentIndex:
     def candidates(self, w: Words, term: np.ndarray, cosine: float) -> np.ndarray:
         """Pairs (text number, item number) of which some window is close enough."""
         heads = _windows(w)
-        latent = np.add.reduceat(self.words[term], heads, axis=0)
+        # every window padded to WINDOW words: a sum over one axis is much faster than over ragged parts
+        size = np.diff(np.append(heads, len(term)))
+        full = np.full((len(heads), WINDOW), len(self.words) - 1)
+        full[np.arange(WINDOW) < size[:, None]] = term
+        latent = np.concatenate([self.words[full[a : a + 4096]].sum(axis=1) for a in range(0, len(full), 4096)])
         close = (latent @ self.items.T) >= (cosine * np.maximum(np.linalg.norm(latent, axis=1), 1e-9))[:, None]
         win, item = np.nonzero(close)
         return np.unique(np.stack([w.doc[heads[win]], item], axis=1), axis=0)
@@ -295,7 +315,7 @@ def leaked_items(
     passage: str = "passage",
     answer: str = "answer",
     rank: int = 96,
-    cosine: float = 0.55,
+    cosine: float = 0.6,
     min_order: float = 0.65,
     min_weight: float = 0.75,
     half: float = 0.5,
@@ -339,10 +359,17 @@ def leaked_items(
                     if not (at >= 0).any():
                         continue
                     first = w.bounds()
-                    found = []
+                    found, there, last = [], np.zeros(len(p.terms) + 1, bool), -1
                     for d, k in index.candidates(w, p.term_of(w.code, at), cosine):
                         span = slice(first[d], first[d + 1])
-                        held = _held(p, k, at[span], min_order, min_weight, near_half)
+                        if d != last:
+                            there[:] = False
+                            there[at[span]] = True  # -1, no word of the vocabulary, marks the place behind it
+                            last, runs = d, None
+                        if _possible(p, k, there, min_weight) < near_half:
+                            continue
+                        runs = np.sort(fragments(at[span])) if runs is None else runs
+                        held = _held(p, k, at[span], runs, min_order, min_weight, near_half)
                         if held >= near_half:
                             has = _has_answer(p.answers[k], w.code[span])
                             if held >= half or has:
