@@ -1,8 +1,10 @@
 import random
+import tracemalloc
 
 import numpy as np
 
-from kronopanel.llm.reading_level import fit_levels, isotonic, reading_levels, weighted_median
+from kronopanel.llm.codepoints import Words
+from kronopanel.llm.reading_level import Vocabulary, draw_pairs, fit_levels, isotonic, reading_levels, weighted_median
 
 S = "sample_id long, lang string, level int, text string"
 D = "doc_id long, text string, level string, score string, n_words string"
@@ -61,3 +63,35 @@ def test_isotonic_is_monotone_and_keeps_means():
 def test_weighted_median():
     out = weighted_median(np.array([3.0, 1.0, 2.0, 9.0]), np.array([1, 1, 5, 2]), np.array([0, 0, 0, 2]), 3)
     assert out[0] == 2.0 and np.isnan(out[1]) and out[2] == 9.0
+
+
+def test_pairs_are_drawn_without_a_matrix_of_all():
+    level = np.repeat(np.arange(1, 6), 4000)  # 20,000 graded texts: 1.6e8 pairs
+    tracemalloc.start()
+    hi, lo = draw_pairs(level, 200_000)
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
+    assert 199_000 < len(hi) <= 200_010 and (level[hi] > level[lo]).all()
+    assert len(np.unique(np.stack([level[hi], level[lo]]), axis=1).T) == 10
+    few = np.array([1, 1, 2, 3])
+    assert {(a, b) for a, b in zip(*map(list, draw_pairs(few, 100)))} == {(2, 0), (2, 1), (3, 0), (3, 1), (3, 2)}
+
+
+def test_layout_tables_and_split_sentences_do_not_move_a_level(spark):
+    model = fit_levels(spark.createDataFrame(samples(1), S))
+    rnd = random.Random(9)
+    hard, easy = words(rnd, 5, 300), words(rnd, 1, 300)
+    table = "\n".join(f"Город {k}; {k * 17}; {k * 3},5; {k}" for k in range(200))
+    wrap = lambda t: "".join(c if c != " " or k % 7 else "\r\n" for k, c in enumerate(t))
+    rows = [(1, hard + "\n\n" + table), (2, easy + "\n\n" + table), (3, wrap(hard)), (4, wrap(easy)), (5, hard.replace(". ", ".\n- ")), (6, table)]
+    got = {r.doc_id: r.level for r in reading_levels(spark.createDataFrame([(*r, "", "", "") for r in rows], D), model).collect()}
+    assert got[1] == got[3] == got[5] == 5
+    assert got[2] == got[4] == 1 and got[6] is not None
+
+
+def test_vocabulary_is_not_rated_by_the_text_itself():
+    w = Words(["алый дом", "алый лес", "серый дом"])
+    v = Vocabulary.learn(w, np.array([1.0, 5.0, 3.0]), np.array([0, 1, 2]))
+    hardness, known = v.of(w.code)
+    assert known.tolist() == [True, True, True, False, False, True]  # a word of one text is unknown
+    assert hardness[0] == 0.0 and hardness[1] < 0
