@@ -8,7 +8,8 @@ a running best, so a single ``searchsorted`` answers all events of the group.
 Scale.  An entity with more than ``rows_per_group`` rows is *hot*: it is cut into calendar
 months.  A month's group holds the changes recorded in it plus one *carry* row per attribute
 (the best of all earlier months, from a pre-aggregated prefix maximum), and its events are
-salted so that no group outgrows one task.  Nothing is collected or broadcast.
+salted so that no group outgrows one task; changes are first reduced to one version per
+attribute and recording day, so that a copy for every salt stays small.  Nothing is collected or broadcast.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kronopanel.session import materialize
+
 #: An entity absent from the feed of entities: attributes of this scope apply to every event.
 SHARED = "all"
 _NO_DAY = -(2**31)
@@ -77,23 +80,25 @@ def attributes_as_of(
     ).where("v is not null and ent is not null and attr is not null and rec is not null and val is not null")
     ch = ch.withColumn("future", F.coalesce("future", F.lit(False))).where(f"not future or ds > {_NO_DAY}")
     ch = ch.withColumn("month", F.when(F.col("future"), _month(F.col("ds"))).otherwise(_month(F.col("rec"))))
-
-    per_month = ev.groupBy("ent", "month").agg(F.count("*").alias("n_ev"))
-    sizes = per_month.groupBy("ent").agg(F.sum("n_ev").alias("n")).unionByName(ch.groupBy("ent").agg(F.count("*").alias("n")))
-    hot = sizes.groupBy("ent").agg(F.sum("n").alias("n")).where(F.col("n") > rows_per_group).select("ent", F.lit(True).alias("hot"))
-
-    salts = (
-        per_month.join(hot, "ent", "left")
-        .select("ent", F.when(F.col("hot"), F.col("month")).otherwise(F.lit(0)).alias("cut"), "n_ev", F.coalesce("hot", F.lit(False)).alias("hot"))
-        .groupBy("ent", "cut", "hot")
-        .agg(F.greatest(F.lit(1), F.ceil(F.sum("n_ev") / rows_per_group)).cast("int").alias("salts"))
-    )
-    ev = ev.join(hot, "ent", "left").withColumn("cut", F.when(F.col("hot"), F.col("month")).otherwise(F.lit(0))).drop("hot")
-    ev = ev.join(salts.drop("hot"), ["ent", "cut"]).withColumn("salt", F.pmod(F.xxhash64("e"), F.col("salts").cast("long")).cast("int")).select("ent", "cut", "salt", "e", "at")
-
-    ch = ch.join(hot, "ent", "left").withColumn("cut", F.when(F.col("hot"), F.col("month")).otherwise(F.lit(0)))
-    carry = _carried(ch.where("hot and not future"), salts.where("hot"))
-    ch = ch.drop("hot", "month").unionByName(carry).join(salts.drop("hot"), ["ent", "cut"])
+    # of the versions recorded on one day (for one month, if they hold for a month) only the best can ever be the answer:
+    # what is left of an entity is bounded by its attributes and days, however often they were revised
+    best = F.max(F.struct("ds", (-F.col("v")).alias("nv"), "val")).alias("b")
+    ch = ch.groupBy("ent", "attr", "future", "month", "rec").agg(best).select((-F.col("b.nv")).alias("v"), "ent", "attr", "future", "b.ds", "rec", "b.val", "month")
+    ch = materialize(ch, "versions")
+
+    counts = ev.groupBy("ent", "month").agg(F.count("*").alias("n_ev")).withColumn("n_ch", F.lit(0).cast("long"))
+    counts = counts.unionByName(ch.groupBy("ent").agg(F.count("*").alias("n_ch")).select("ent", F.lit(None).cast("int").alias("month"), F.lit(0).cast("long").alias("n_ev"), "n_ch"))
+    whole = Window.partitionBy("ent")  # a row per month of an entity
+    slots = counts.withColumn("hot", F.sum(F.col("n_ev") + F.col("n_ch")).over(whole) > rows_per_group).where("n_ev > 0")
+    slots = slots.withColumn("cut", F.when(F.col("hot"), F.col("month")).otherwise(F.lit(0)))
+    slots = materialize(slots.select("ent", "month", "cut", "hot", F.ceil(F.sum("n_ev").over(Window.partitionBy("ent", "cut")) / rows_per_group).cast("int").alias("salts")), "slots")
+
+    ev = ev.join(slots, ["ent", "month"]).withColumn("salt", F.pmod(F.xxhash64("e"), F.col("salts").cast("long")).cast("int")).select("ent", "cut", "salt", "e", "at")
+    cuts = slots.select("ent", "cut", "salts", "hot").distinct()
+    ch = ch.join(slots.select("ent", "hot").distinct(), "ent").withColumn("cut", F.when(F.col("hot"), F.col("month")).otherwise(F.lit(0)))
+    overlap = _scopes_overlap(ch, shared)
+    carry = _carried(ch.where("hot and not future"), cuts.where("hot"))
+    ch = ch.drop("hot", "month").unionByName(carry).join(cuts.drop("hot"), ["ent", "cut"])
     ch = ch.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("ent", "cut", "salt", "v", "attr", "future", "ds", "rec", "val")
 
     found = (
@@ -101,7 +106,7 @@ def attributes_as_of(
         .cogroup(ch.groupBy("ent", "cut", "salt"))
         .applyInPandas(_search, "e long, attr string, v long, future boolean, ds int, rec int, val double")
     )
-    if _scopes_overlap(ch, shared):
+    if overlap:
         best = F.max_by(F.struct("v", "future", "ds", "rec", "val"), F.struct("ds", "rec", -F.col("v")))
         found = found.groupBy("e", "attr").agg(best.alias("b")).select("e", "attr", "b.*")
     day = lambda c: F.when(F.col(c) > _NO_DAY, F.date_from_unix_date(F.col(c)))

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kronopanel.functions.calendar_time import flexible_date, squash_name
@@ -63,7 +63,7 @@ def history_from_snapshots(snapshots: DataFrame, *, entity: str, taken_on: str,
     """
     taken = snapshots.select(F.col(entity).cast("string").alias(entity), F.col(taken_on).cast("date").alias("d"), F.col(payload).cast("string").alias(payload)).where(f"d is not null and `{entity}` is not null")
     days = taken.select("d").distinct()
-    upto = days.alias("a").join(days.alias("b"), F.col("b.d") > F.col("a.d"), "left").groupBy(F.col("a.d").alias("d")).agg(F.min("b.d").alias("d2"))
+    upto = days.select("d", F.lead("d").over(Window.orderBy("d")).alias("d2"))  # one row per snapshot
     unit = taken.join(upto, "d")
     starts = unit.select(entity, "d", payload, F.lit(1).alias("real"))
     ends = unit.where("d2 is not null").select(entity, F.col("d2").alias("d"), F.lit(None).cast("string").alias(payload), F.lit(0).alias("real"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kronopanel.operators.asof_attributes import attributes_as_of
-from kronopanel.operators.history import history_from_acts
+from kronopanel.functions.calendar_time import squash_name
+from kronopanel.operators.history import history_from_acts, history_from_snapshots
 from kronopanel.operators.regular_grid import regular_grid
 from kronopanel.operators.table_diff import diff_copies
 from kronopanel.plans.inputs import plain_nan
@@ -48,6 +49,17 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return history.select("predecessor", "successor", day("valid_from").alias("valid_from"), F.coalesce(day("valid_to"), F.lit("9999-12-31")).alias("valid_to"))
 
 
+def p4_kind_history(spark: SparkSession, root: str) -> DataFrame:
+    """History of each territory's kind from yearly snapshots of the reference."""
+    r = table(spark, root, "oktmo_reference").where("territory_id is not null and year_from is not null and year_to is not null")
+    span = r.agg(F.min("year_from").alias("lo"), F.max(F.when(F.col("year_to") < 9999, F.col("year_to") + 1).otherwise(F.col("year_from"))).alias("hi"))
+    years = r.crossJoin(F.broadcast(span)).where("year_from <= least(year_to, hi)")  # one row of bounds
+    years = years.select("territory_id", "year_from", squash_name(F.col("municipal_district_type")).alias("kind"), F.explode(F.sequence("year_from", F.least("year_to", "hi"))).alias("y"))
+    taken = years.groupBy(F.col("territory_id").cast("string").alias("territory"), F.make_date("y", F.lit(1), F.lit(1)).alias("d")).agg(F.max_by("kind", F.struct("year_from", F.coalesce("kind", F.lit("")))).alias("kind"))
+    out = history_from_snapshots(taken, entity="territory", taken_on="d", payload="kind")
+    return out.select("territory", "kind", *[F.year(c).cast("string").alias(c) for c in ("valid_from", "valid_to")])
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     grid = regular_grid(table(spark, root, "national_series"))
     return grid.where("status <> 'observed'").select("series_key", F.date_format("period_start", "yyyy-MM-dd").alias("period_start"))
@@ -64,6 +76,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_difference_profile": p2_difference_profile,
     "p4_found": p4_found,
+    "p4_kind_history": p4_kind_history,
     "p5_found": p5_found,
     "p5_regular_series": p5_regular_series,
 }
@@ -105,6 +118,13 @@ ORACLE = {
     "p1_values_known": _P1 + "SELECT event_id, block, round(value, 4) AS value FROM hit WHERE rn = 1",
     "p2_found": _P2 + "SELECT unique_id, ds, fold, model, issue FROM found",
     "p2_difference_profile": _P2 + "SELECT model, issue, count(*) AS n FROM found GROUP BY ALL",
+    "p4_kind_history": """WITH r AS (SELECT territory_id, year_from, year_to, trim(lower(regexp_replace(municipal_district_type, '\\s+', ' ', 'g'))) AS kind FROM oktmo_reference WHERE territory_id IS NOT NULL AND year_from IS NOT NULL AND year_to IS NOT NULL),
+        b AS (SELECT min(year_from) AS lo, max(CASE WHEN year_to < 9999 THEN year_to + 1 ELSE year_from END) AS hi FROM r),
+        e AS (SELECT territory_id, year_from, kind, unnest(generate_series(year_from::BIGINT, least(year_to, hi)::BIGINT)) AS y FROM r, b WHERE year_from <= least(year_to, hi)),
+        s AS (SELECT territory_id, y, kind FROM (SELECT *, row_number() OVER (PARTITION BY territory_id, y ORDER BY year_from DESC, coalesce(kind, '') DESC) AS rn FROM e) WHERE rn = 1),
+        last AS (SELECT max(y) AS last FROM s), i AS (SELECT *, (lag(kind) OVER w IS DISTINCT FROM kind OR lag(y) OVER w IS DISTINCT FROM y - 1)::INT AS new FROM s WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY territory_id ORDER BY y)),
+        g AS (SELECT *, sum(new) OVER (PARTITION BY territory_id ORDER BY y) AS run FROM i)
+        SELECT territory_id::VARCHAR AS territory, any_value(kind) AS kind, min(y)::VARCHAR AS valid_from, CASE WHEN max(y) < any_value(last) THEN (max(y) + 1)::VARCHAR END AS valid_to FROM g, last GROUP BY territory_id, run""",
     "p4_found": f"""
 WITH r AS (
   SELECT lower(trim(regexp_replace(predecessor, '\\s+', ' ', 'g'))) AS p, nullif(lower(trim(regexp_replace(successor, '\\s+', ' ', 'g'))), '') AS s,

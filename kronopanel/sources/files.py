@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kronopanel.session import shared_dir
+from kronopanel.session import work_dir
 
 # -- typed text ------------------------------------------------------------------------------------
 
@@ -28,22 +28,35 @@ def read_typed_csv(spark: SparkSession, path: str, schema: str, sep: str = ",")
 
 
 def read_zipped_parquet(spark: SparkSession, archive: str, member: str) -> DataFrame:
-    """A parquet member of a zip archive, unpacked once into the shared folder."""
-    with zipfile.ZipFile(archive) as z:
-        data = z.read(member)
-    target = Path(shared_dir(spark).removeprefix("file:")) / f"{hashlib.sha256(data).hexdigest()[:24]}.parquet"
-    if not target.exists():
-        target.parent.mkdir(parents=True, exist_ok=True)
-        part = target.with_suffix(".part")
-        part.write_bytes(data)
-        part.rename(target)
-    return spark.read.parquet(f"file://{target}")
+    """A parquet member of a zip archive, streamed once into the shared folder, whatever file system the two lie on."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    source = path(archive)
+    files = source.getFileSystem(conf)
+    status = files.getFileStatus(source)
+    mark = hashlib.sha256(f"{archive}|{member}|{status.getLen()}|{status.getModificationTime()}".encode()).hexdigest()[:24]
+    target, part = path(f"{work_dir(spark)}/{mark}.parquet"), path(f"{work_dir(spark)}/{mark}.part")
+    shared = target.getFileSystem(conf)
+    if not shared.exists(target):
+        packed = jvm.java.util.zip.ZipInputStream(files.open(source))
+        try:
+            while (entry := packed.getNextEntry()) is not None and entry.getName() != member:
+                pass
+            if entry is None:
+                raise KeyError(member)
+            out = shared.create(part, True)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(packed, out, 1 << 20, False)
+            out.close()
+        finally:
+            packed.close()
+        shared.rename(part, target)
+    return spark.read.parquet(target.toString())
 
 
 # -- zipped event days -----------------------------------------------------------------------------
 
 #: The kept columns of an event file, with their position in a line.
-EVENT_COLUMNS = {"sqldate": 1, "event_code": 26, "event_root_code": 28, "quad_class": 29, "goldstein": 30, "num_mentions": 31, "num_articles": 33, "avg_tone": 34, "country": 53, "adm1": 54, "lat": 56, "lon": 57, "date_added": 59, "source_url": 60}
+EVENT_COLUMNS = {"sqldate": 1, "event_code": 26, "event_root_code": 28, "quad_class": 29, "goldstein": 30, "num_mentions": 31, "num_articles": 33, "avg_tone": 34, "country": 51, "adm1": 52, "lat": 53, "lon": 54, "date_added": 56, "source_url": 57}
 
 
 def read_event_days(spark: SparkSession, path: str, country: str) -> DataFrame:
@@ -59,7 +72,7 @@ def read_event_days(spark: SparkSession, path: str, country: str) -> DataFrame:
                 with z.open(member) as f:
                     for raw in io.TextIOWrapper(f, "utf-8", errors="replace"):
                         parts = raw.rstrip("\n").split("\t")
-                        if len(parts) > EVENT_COLUMNS["country"] and parts[EVENT_COLUMNS["country"]] == country:
+                        if len(parts) > EVENT_COLUMNS["source_url"] and parts[EVENT_COLUMNS["country"]] == country:
                             yield [parts[i] if i < len(parts) and parts[i] != "" else None for i in EVENT_COLUMNS.values()]
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -61,3 +61,14 @@ def test_empty_tables(spark):
     events, changes = data(5, 5, 3)
     assert got(spark, [], changes) == set()
     assert got(spark, events, []) == set()
+
+
+def test_many_revisions_of_one_day_leave_the_best(spark):
+    """Versions of one recording day are one, however many tasks an entity's events are spread over."""
+    day = lambda k: D(2024, 3, k)
+    rows = [(k, "b", "past_only", "01", D(2024, 1, 1 + k % 3), day(5), float(k)) for k in range(500)] + [(900, "b", "past_only", "01", D(2024, 1, 3), day(9), 9.0)]
+    changes = spark.createDataFrame(rows, "value_id long, block string, kind string, region_code string, ds date, published_at date, value double")
+    events = spark.createDataFrame([(k, day(4 + k % 7), None, "01") for k in range(70)], "event_id long, date date, published_at date, region_code string")
+    for limit in (200_000, 20):
+        got = {r.event_id: r.value_id for r in attributes_as_of(events, changes, rows_per_group=limit).collect()}
+        assert got == {k: 2 if k % 7 < 5 else 900 for k in range(70) if k % 7 >= 1}

@@ -88,11 +88,11 @@ def test_spreadsheets(spark):
 
 
 def test_event_days_filter_and_types(spark, tmp_path):
-    line = lambda country, day, tone: "\t".join({1: day, 28: "14", 29: "4", 34: tone, 53: country, 59: day}.get(i, "") for i in range(61))
+    line = lambda country, day, tone: "\t".join({1: day, 28: "14", 29: "4", 34: tone, 51: country, 53: "59.9", 56: day, 57: "http://x"}.get(i, "") for i in range(58))
     with zipfile.ZipFile(tmp_path / "20240101.zip", "w") as z:
         z.writestr("20240101.csv", "\n".join([line("RS", "20240101", "-1.5"), line("US", "20240101", "2"), line("RS", "bad", "x"), "short"]))
     rows = S.read_event_days(spark, str(tmp_path / "*.zip"), "RS").orderBy("avg_tone").collect()
-    assert [(str(r.sqldate), r.quad_class, r.avg_tone, r.country) for r in rows] == [("None", 4, None, "RS"), ("2024-01-01", 4, -1.5, "RS")]
+    assert [(str(r.sqldate), r.quad_class, r.avg_tone, r.country, r.lat, str(r.date_added), r.source_url) for r in rows] == [("None", 4, None, "RS", 59.9, "None", "http://x"), ("2024-01-01", 4, -1.5, "RS", 59.9, "2024-01-01", "http://x")]
 
 
 def test_manifests_and_stamps(spark, tmp_path):
