@@ -38,14 +38,19 @@ def region_of_code(codes: DataFrame, code: str, regions: DataFrame) -> DataFrame
     return out.withColumn("region", F.coalesce("r3", "r2")).drop("r3", "r2")
 
 
+#: The letters of the transliteration, and what each becomes.
+_LETTERS = ("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "abvgdeejzijklmnoprstufhccss_y_eua")
+
+
 def slugify(text: Column) -> Column:
-    """Cyrillic transliterated, everything else but letters and digits to single dashes."""
-    low = F.lower(text)
-    # fixed values: letters that become several, then those that become one
-    for a, b in (("ж", "zh"), ("ц", "ts"), ("ч", "ch"), ("ш", "sh"), ("щ", "sch"), ("ю", "yu"), ("я", "ya"), ("ё", "e"), ("х", "kh"), ("ъ", ""), ("ь", "")):
-        low = F.replace(low, F.lit(a), F.lit(b))
-    low = F.translate(low, "абвгдезийклмнопрстуфыэ", "abvgdeziyklmnoprstufye")
-    return F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Cyrillic transliterated letter by letter, everything else but letters and digits to single dashes."""
+    return F.regexp_replace(F.regexp_replace(F.translate(F.lower(text), *_LETTERS), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def column_key(text: Column) -> Column:
+    """A name as part of a column's name: transliterated, every other sign an underscore, none at its ends, 40 characters at most."""
+    plain = F.regexp_replace(F.translate(F.lower(text), *_LETTERS), "[^0-9a-z]", "_")
+    return F.substring(F.regexp_replace(plain, "^_+|_+$", ""), 1, 40)
 
 
 def series_blocks(raw: DataFrame, order: str, keys: list[str], period: str, shard: Column | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kronopanel.functions.calendar_time import flexible_date, squash_name
 from kronopanel.operators import entities as E
+from kronopanel.operators import mapping as M
 from kronopanel.operators.panel import panel_from_blocks
 from kronopanel.plans.inputs import PANEL_SQL, TERRITORY_SQL, Registry, panel, r4, territory
 from kronopanel.session import table
@@ -158,6 +159,145 @@ def table_fingerprints(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(n, frame_digest(table(spark, root, n))) for n in names], "name string, digest string")
 
 
-@query("""SELECT DISTINCT municipal_district_type AS kind, trim(regexp_replace(replace(replace(replace(replace(replace(translate(lower(municipal_district_type), 'абвгдезийклмнопрстуфыэ', 'abvgdeziyklmnoprstufye'), 'ж', 'zh'), 'ц', 'ts'), 'ч', 'ch'), 'я', 'ya'), 'ь', ''), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM oktmo_reference WHERE municipal_district_type IS NOT NULL""")
+#: The letters of the transliteration, and what each becomes.
+_LETTERS = "'абвгдеёжзийклмнопрстуфхцчшщъыьэюя', 'abvgdeejzijklmnoprstufhccss_y_eua'"
+
+
+@query(f"SELECT DISTINCT municipal_district_type AS kind, trim(regexp_replace(translate(lower(municipal_district_type), {_LETTERS}), '[^a-z0-9]+', '-', 'g'), '-') AS slug, left(trim(regexp_replace(translate(lower(municipal_district_type), {_LETTERS}), '[^0-9a-z]', '_', 'g'), '_'), 40) AS key FROM oktmo_reference WHERE municipal_district_type IS NOT NULL")
 def kind_slugs(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "oktmo_reference").where("municipal_district_type is not null").select(F.col("municipal_district_type").alias("kind")).distinct().withColumn("slug", E.slugify(F.col("kind")))
+    return table(spark, root, "oktmo_reference").where("municipal_district_type is not null").select(F.col("municipal_district_type").alias("kind")).distinct().select("kind", E.slugify(F.col("kind")).alias("slug"), E.column_key(F.col("kind")).alias("key"))
+
+
+# -- from names to territories ----------------------------------------------------------------------
+
+
+def _places(spark: SparkSession, root: str) -> DataFrame:
+    """The ordered lists of exported names: one list per category, one place per block."""
+    r = table(spark, root, "raw_blocks").where("mo is not null and block_id is not null and category_15 is not null")
+    return r.groupBy("block_id", F.col("category_15").alias("list")).agg(F.min("row_no").alias("pos"), F.min_by("mo", "row_no").alias("name")).select("list", "pos", "name", F.col("block_id").alias("block"))
+
+
+def _known_names(spark: SparkSession, root: str) -> DataFrame:
+    ref = table(spark, root, "oktmo_reference").where("municipal_district_name is not null and region_code is not null")
+    return ref.select(E.name_root(F.col("municipal_district_name")).alias("root"), F.col("region_code").alias("region")).distinct().where("root <> ''")
+
+
+#: Regions that are cities.
+FEDERAL = ("77", "78", "92")
+
+
+@query()
+def resolved_regions(spark: SparkSession, root: str) -> DataFrame:
+    """Region of each exported name: candidates, smoothed along the list, repaired, with source and confidence (sequential: no SQL twin)."""
+    return M.resolve_regions(_places(spark, root), _known_names(spark, root), federal=FEDERAL)
+
+
+def _total_places(spark: SparkSession, root: str) -> DataFrame:
+    return _places(spark, root).where("list = 'total'")
+
+
+def _mapping(spark: SparkSession, root: str) -> DataFrame:
+    raw = table(spark, root, "raw_blocks").where("block_id is not null and mo is not null").withColumn("value", F.nanvl("value", F.lit(None).cast("double"))).withColumn("ds", F.trunc(flexible_date(F.col("period")), "MM"))
+    cells = raw.where("value > 0 and ds is not null").groupBy("block_id", "ds").agg(F.min_by("value", "row_no").alias("v"))
+    arrays = cells.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct((F.year("ds") * 12 + F.month("ds")).alias("m"), "v"))).alias("c"))
+    heads = raw.groupBy("block_id").agg(F.min_by("mo", "row_no").alias("name"), F.min_by("category_15", "row_no").alias("category"))
+    blocks = heads.join(arrays, "block_id", "left").select(F.col("block_id").alias("block"), "name", "category", F.coalesce("c.m", F.array().cast("array<int>")).alias("m"), F.coalesce("c.v", F.array().cast("array<double>")).alias("v"))
+    resolved = M.resolve_regions(_total_places(spark, root), _known_names(spark, root), federal=FEDERAL)
+    p = panel(spark, root)
+    whole = p.where("category = 'total'").select("territory_id", "ds", F.col("y").alias("whole"))
+    shares = p.join(whole, ["territory_id", "ds"]).where("y > 0 and whole > 0").groupBy("category").agg(F.median(F.ln(F.col("y") / F.col("whole"))).alias("share"))
+    return M.build_mapping(blocks, resolved, shares, "total")
+
+
+@query()
+def entity_mapping(spark: SparkSession, root: str) -> DataFrame:
+    """Every exported block with its territory, by name, order, level and coverage (assignment: no SQL twin)."""
+    return _mapping(spark, root)
+
+
+@query()
+def mapping_report(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "raw_blocks").select(F.col("block_id").alias("block"), F.col("category_15").alias("category"), "period")
+    return M.mapping_report(rows, _mapping(spark, root))
+
+
+@query()
+def crosswalk_table(spark: SparkSession, root: str) -> DataFrame:
+    """Blocks whose whole content is one official series, with their official and their heuristic territory."""
+    raw = table(spark, root, "raw_blocks").where("block_id is not null").withColumn("value", F.nanvl("value", F.lit(None).cast("double"))).withColumn("ds", F.trunc(flexible_date(F.col("period")), "MM"))
+    cells = raw.where("value is not null and ds is not null").select(F.concat_ws("/", F.col("block_id").cast("string"), "category_15").alias("key"), (F.year("ds") * 12 + F.month("ds")).alias("m"), "value").distinct()
+    left = E.signatures(cells, "key", "m", "value")
+    right = E.signatures(panel(spark, root).select(F.concat_ws("/", F.col("territory_id").cast("string"), "category").alias("key"), (F.year("ds") * 12 + F.month("ds")).alias("m"), "y"), "key", "m", "y")
+    part = lambda c, i: F.split_part(c, F.lit("/"), F.lit(i))
+    pairs = E.signature_match(left, right).where(part("left_key", 2) == part("right_key", 2))
+    pairs = pairs.select(part("left_key", 1).cast("long").alias("block"), part("left_key", 2).alias("category"), part("right_key", 1).cast("int").alias("territory_id"))
+    return M.crosswalk_table(pairs, _mapping(spark, root), _territories(spark, root))
+
+
+def _territories(spark: SparkSession, root: str) -> DataFrame:
+    c = E.canonical_versions(table(spark, root, "oktmo_reference"), 2024).withColumn("code", E.digits_only(F.col("oktmo")))
+    return M.territory_table(c.withColumn("region", F.substring("code", 1, 2)).where("region is not null"))
+
+
+_CANON = """canon AS (SELECT *, nullif(regexp_replace(regexp_replace(oktmo, '\\.0+$', ''), '[^0-9]', '', 'g'), '') AS code FROM (
+    SELECT *, row_number() OVER (PARTITION BY territory_id ORDER BY (year_from <= 2024 AND year_to >= 2024) DESC, year_from DESC, oktmo, municipal_district_name, municipal_district_type, region_code, municipal_district_center_lat) AS rn
+    FROM (SELECT DISTINCT * FROM oktmo_reference WHERE year_from <= 2024)) WHERE rn = 1)"""
+_KIND = r"""CASE WHEN k LIKE '%внутригородск%' THEN 'intracity' WHEN regexp_matches(k, 'городской\s+округ') THEN 'urban_okrug' WHEN regexp_matches(k, 'муниципальный\s+округ') THEN 'municipal_okrug'
+    WHEN regexp_matches(k, 'муниципальный\s+район') OR regexp_matches(' ' || k || ' ', '[^а-яё](район|улус|кожуун|аймак)[^а-яё]') THEN 'municipal_district' WHEN regexp_matches(' ' || k || ' ', '[^а-яё]поселение[^а-яё]') THEN 'settlement' ELSE 'other' END"""
+
+
+@query(f"""WITH {_CANON}, t AS (SELECT *, lower(coalesce(municipal_district_type, municipal_district_name)) AS k FROM canon WHERE code IS NOT NULL)
+SELECT left(code, 2) || '-' || lpad(territory_id::VARCHAR, 4, '0') AS territory, territory_id, left(code, 2) AS region, trim(municipal_district_name) AS name, {_KIND} AS kind, left(code, 8) AS code FROM t""")
+def territory_table(spark: SparkSession, root: str) -> DataFrame:
+    return _territories(spark, root)
+
+
+@query(f"""WITH {_CANON}, p AS (SELECT DISTINCT region_code, left(code, 2) AS region FROM canon WHERE region_code IS NOT NULL AND code IS NOT NULL), a AS (SELECT region_code, count(*) AS na FROM p GROUP BY 1), b AS (SELECT region, count(*) AS nb FROM p GROUP BY 1)
+SELECT region_code, region FROM p JOIN a USING (region_code) JOIN b USING (region) WHERE na > 1 OR nb > 1""")
+def region_conflicts(spark: SparkSession, root: str) -> DataFrame:
+    c = E.canonical_versions(table(spark, root, "oktmo_reference"), 2024)
+    return M.region_conflicts(c.withColumn("region", F.substring(E.digits_only(F.col("oktmo")), 1, 2)), "region_code", "region")
+
+
+@query()
+def matched_codes(spark: SparkSession, root: str) -> DataFrame:
+    """Code of each exported name in its resolved region, by root, else by stem among compatible kinds (names: no SQL twin)."""
+    ref = table(spark, root, "oktmo_reference").where("municipal_district_name is not null and region_code is not null").select(F.col("municipal_district_name").alias("name"), F.col("region_code").alias("region"), E.digits_only(F.col("oktmo")).alias("code")).distinct()
+    names = M.resolve_regions(_total_places(spark, root), _known_names(spark, root), federal=FEDERAL).where("region is not null")
+    return M.match_codes(names.select("name", "region"), ref)
+
+
+def _named_territories(spark: SparkSession, root: str) -> DataFrame:
+    """Every name of the acts as a territory of its own."""
+    a = table(spark, root, "reorganizations")
+    names = a.select(squash_name(F.col("predecessor")).alias("name")).unionByName(a.select(squash_name(F.col("successor")).alias("name"))).where("name <> ''").distinct()
+    return names.select("name", F.concat(F.lit("t-"), "name").alias("territory"))
+
+
+def _acts(spark: SparkSession, root: str) -> DataFrame:
+    r = table(spark, root, "reorganizations").select(squash_name(F.col("predecessor")).alias("predecessor"), squash_name(F.col("successor")).alias("successor"), F.lower(F.trim("relation")).alias("relation"), F.date_format(flexible_date(F.col("effective")), "yyyy-MM-dd").alias("effective"))
+    return r.where("effective is not null").distinct()
+
+
+_ACTS = f"""r AS (SELECT DISTINCT {_SQUASH.format("predecessor")} AS predecessor, {_SQUASH.format("successor")} AS successor, lower(trim(relation)) AS relation,
+    coalesce(try_strptime(trim(effective), '%d.%m.%Y')::DATE, try_strptime(trim(effective), '%Y/%m/%d')::DATE, try_strptime(trim(effective), '%Y-%m-%d')::DATE, try_strptime(trim(effective), '%Y-%m')::DATE, try_strptime(trim(effective), '%m.%Y')::DATE)::VARCHAR AS effective FROM reorganizations),
+    acts AS (SELECT * FROM r WHERE effective IS NOT NULL), names AS (SELECT DISTINCT name FROM (SELECT {_SQUASH.format("predecessor")} AS name FROM reorganizations UNION ALL SELECT {_SQUASH.format("successor")} FROM reorganizations) WHERE name <> '')"""
+
+
+@query(f"""WITH {_ACTS}, a AS (SELECT 't-' || predecessor AS pid, 't-' || successor AS sid, relation, effective FROM acts WHERE predecessor IN (SELECT name FROM names) AND successor IN (SELECT name FROM names) AND relation IN ('continuation', 'merge') AND predecessor <> successor),
+m AS (SELECT pid AS t, effective FROM a UNION ALL SELECT sid, effective FROM a), b AS (SELECT t, max(effective) AS broken FROM m GROUP BY 1), l AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY pid ORDER BY effective DESC, sid DESC, relation DESC) = 1)
+SELECT name, 't-' || name AS old_territory, CASE WHEN relation = 'continuation' THEN sid ELSE 't-' || name END AS territory, broken AS admin_break_at, sid AS successor_territory FROM names LEFT JOIN b ON b.t = 't-' || name LEFT JOIN l ON l.pid = 't-' || name""")
+def reorganized_territories(spark: SparkSession, root: str) -> DataFrame:
+    return M.apply_reorganizations(_named_territories(spark, root), _acts(spark, root))
+
+
+@query(f"""WITH {_ACTS} SELECT predecessor, successor, relation, p AS problem FROM (SELECT *, CASE WHEN NOT coalesce(relation IN ('continuation', 'merge'), false) THEN 'relation' WHEN predecessor IS NULL OR predecessor NOT IN (SELECT name FROM names) THEN 'predecessor' WHEN successor IS NULL OR successor NOT IN (SELECT name FROM names) THEN 'successor' END AS p FROM acts) WHERE p IS NOT NULL""")
+def reorganization_problems(spark: SparkSession, root: str) -> DataFrame:
+    return M.reorganization_problems(_named_territories(spark, root), _acts(spark, root))
+
+
+@query("SELECT event_id, e.region_code AS code, k.region AS region_code FROM (SELECT event_id, region_code FROM event_calendar) e LEFT JOIN (SELECT DISTINCT region_code AS region FROM oktmo_reference WHERE region_code IS NOT NULL) k ON k.region = e.region_code")
+def events_by_region(spark: SparkSession, root: str) -> DataFrame:
+    """Events under the regions of the reference; unknown codes stay without region."""
+    known = table(spark, root, "oktmo_reference").where("region_code is not null").select(F.col("region_code").alias("code"), F.col("region_code").alias("region")).distinct()
+    return M.map_regions(table(spark, root, "event_calendar").select("event_id", F.col("region_code").alias("code")), "code", known).select("event_id", "code", "region_code")
