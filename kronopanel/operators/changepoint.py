@@ -91,7 +91,7 @@ def cusum_alarms(arrays: DataFrame, threshold: float | Column, drift: float = 0.
     return arrays.withColumn("alarms", F.aggregate("xs", start, step)["a"])
 
 
-def page_hinkley_alarms(arrays: DataFrame, threshold: float, delta: float = 0.05) -> DataFrame:
+def page_hinkley_alarms(arrays: DataFrame, threshold: float | Column, delta: float = 0.05) -> DataFrame:
     """Page-Hinkley test of a shift of the mean; everything restarts after an alarm."""
     zero = lambda name: F.lit(0.0).alias(name)
     start = F.struct(zero("m"), zero("c"), zero("lo"), zero("hi"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("a"))
@@ -131,14 +131,13 @@ def _per_series(arrays: DataFrame, f: Callable[[np.ndarray], list[int]]) -> Data
     return arrays.select("unique_id", F.col("xs.x").alias("x")).mapInPandas(run, "unique_id string, alarms array<int>")
 
 
-def bocpd(x: np.ndarray, hazard: float = 1 / 12, drop: float = 0.3, confirm: int = 2) -> list[int]:
-    """Bayesian online detection: alarm when the likely run length falls and stays short.
+def run_lengths(x: np.ndarray, hazard: float = 1 / 12) -> tuple[np.ndarray, np.ndarray]:
+    """Bayesian online detection: likeliest run length after each value, and the mass on runs of at most two.
 
-    Normal-gamma observations, Student-t predictions; ``drop`` is the mass on runs no longer than
-    ``confirm`` that counts as a break.
+    Normal-gamma observations, Student-t predictions.
     """
     mu, kappa, alpha, beta = np.zeros(1), np.ones(1), np.ones(1), np.ones(1)
-    log_run, alarms, quiet = np.zeros(1), [], 0
+    log_run, likely, short = np.zeros(1), np.zeros(len(x), int), np.zeros(len(x))
     for t, v in enumerate(x):
         df, scale2 = 2 * alpha, beta * (kappa + 1) / (alpha * kappa)
         lg = np.array([math.lgamma((d + 1) / 2) - math.lgamma(d / 2) for d in df])
@@ -150,12 +149,27 @@ def bocpd(x: np.ndarray, hazard: float = 1 / 12, drop: float = 0.3, confirm: int
         beta = np.concatenate(([1.0], beta + kappa * (v - mu) ** 2 / (2 * (kappa + 1))))
         mu = np.concatenate(([0.0], (kappa * mu + v) / (kappa + 1)))
         kappa, alpha = np.concatenate(([1.0], kappa + 1)), np.concatenate(([1.0], alpha + 0.5))
-        short = float(np.exp(np.logaddexp.reduce(log_run[: confirm + 1])))
-        quiet -= 1
-        if t > 2 * confirm and short > drop and quiet <= 0:
-            alarms.append(t)
-            quiet = confirm + 1
-    return alarms
+        likely[t], short[t] = int(np.argmax(log_run)), float(np.exp(log_run[:3]).sum())
+    return likely, short
+
+
+def bocpd(x: np.ndarray, hazard: float = 1 / 12, drop: float = 0.25, confirm: int = 2) -> list[int]:
+    """Alarm where the likeliest run length falls while short runs have a mass of ``drop``, and the new run then
+    grows by one in each of ``confirm`` steps; the alarm is dated at its confirmation."""
+    likely, short = run_lengths(x, hazard)
+    falls = [t for t in range(1, len(x) - confirm) if likely[t] < likely[t - 1] and short[t] >= drop]
+    return [t + confirm for t in falls if all(likely[t + k] == likely[t] + k for k in range(1, confirm + 1))]
+
+
+def conformal_runs(x: np.ndarray, limit: float, consecutive: int = 2) -> list[int]:
+    """Positions at which ``consecutive`` values in a row lie beyond the limit; a run starts anew after each."""
+    out, run = [], 0
+    for t, v in enumerate(np.abs(x) > limit):
+        run = run + 1 if v else 0
+        if run == consecutive:
+            out.append(t)
+            run = 0
+    return out
 
 
 def adwin(x: np.ndarray, delta: float = 0.05, least: int = 3) -> list[int]:
@@ -253,7 +267,7 @@ def window_breaks(x: np.ndarray, penalty: float, least: int = 3) -> list[int]:
     return [int(k[i]) for i in range(len(k)) if gain[i] > penalty and gain[i] == gain[max(0, i - least + 1) : i + least].max()]
 
 
-DETECTORS: dict[str, Callable[..., list[int]]] = {"pelt_l2": optimal_breaks, "kernel_rbf": lambda x, penalty: optimal_breaks(x, penalty, kernel=True), "binseg_l2": binary_breaks, "window_l2": window_breaks, "bocpd": lambda x, drop: bocpd(x, drop=drop), "adwin": lambda x, delta: adwin(x, delta)}
+DETECTORS: dict[str, Callable[..., list[int]]] = {"pelt_l2": optimal_breaks, "pelt_rbf": lambda x, penalty: optimal_breaks(x, penalty, kernel=True), "kernel_rbf": lambda x, penalty: optimal_breaks(x, penalty, kernel=True), "binseg_l2": binary_breaks, "window_l2": window_breaks, "bocpd": lambda x, drop: bocpd(x, drop=drop), "adwin": lambda x, delta: adwin(x, delta), "conformal": conformal_runs}
 
 
 def detect(arrays: DataFrame, name: str, parameter: float) -> DataFrame:
@@ -262,11 +276,77 @@ def detect(arrays: DataFrame, name: str, parameter: float) -> DataFrame:
     return _per_series(arrays, lambda x: f(x, parameter))
 
 
+def grid_alarms(arrays: DataFrame, grid: dict[str, Sequence[float]]) -> DataFrame:
+    """``unique_id, detector, parameter, alarms``: every detector at every parameter, series by series in one pass over the stream."""
+    folds = {"cusum": cusum_alarms, "page_hinkley": page_hinkley_alarms}
+    cols = ["unique_id", "detector", "parameter", "alarms"]
+    parts = []
+    for name in grid.keys() & folds.keys():
+        wide = arrays.withColumn("parameter", F.explode(F.array(*[F.lit(float(v)) for v in grid[name]])))
+        parts.append(folds[name](wide, F.col("parameter")).withColumn("detector", F.lit(name)).select(*cols))
+    rest = [(name, float(v), DETECTORS[name]) for name in sorted(grid.keys() - folds.keys()) for v in grid[name]]
+    if rest:
+
+        def run(batches):  # noqa: ANN001, ANN202
+            for pdf in batches:
+                series = [(u, np.asarray(x, float)) for u, x in zip(pdf["unique_id"], pdf["x"])]
+                yield pd.DataFrame([(u, name, v, [int(i) for i in f(x, v)]) for u, x in series for name, v, f in rest], columns=cols)
+
+        parts.append(arrays.select("unique_id", F.col("xs.x").alias("x")).mapInPandas(run, "unique_id string, detector string, parameter double, alarms array<int>"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def calibrated(alarms: DataFrame, labels: DataFrame, margin: int = 1) -> DataFrame:
+    """Each detector at the parameter with the best F1 on one half of the series (the least of equals), scored on the other half.
+
+    The halves are drawn by a hash of the series; ``alarms`` holds a row per series, detector and parameter.
+    """
+    half = F.pmod(F.xxhash64("unique_id"), F.lit(2))
+    keys = ["detector", "parameter"]
+    first = score(alarms, labels.where(half == 0), margin, keys)
+    best = first.groupBy("detector").agg(F.max_by("parameter", F.struct("f1", -F.col("parameter"))).alias("parameter"), F.max("f1").alias("f1_calibration"))
+    chosen = alarms.join(F.broadcast(best), keys)  # a row per detector
+    return score(chosen, labels.where(half == 1), margin, keys).join(best, keys)
+
+
+def delay_curve(alarms: DataFrame, labels: DataFrame) -> DataFrame:
+    """Mean delay of the detected breaks against false alarms per series-year, for each detector and parameter."""
+    keys = ["detector", "parameter"]
+    j = labels.where("tau >= 0").join(alarms, "unique_id")
+    delay = F.array_min(F.filter("alarms", lambda a: a >= F.col("tau"))) - F.col("tau")
+    late = j.groupBy(*keys).agg(F.avg(delay).alias("mean_delay"), F.count(delay).alias("detected"))
+    return score(alarms, labels, 1, keys).join(late, keys, "left").select(*keys, "false_per_year", "recall", "mean_delay", "detected")
+
+
+def window_coverage(alarms: Column, n: Column, margin: int) -> Column:
+    """Share of a series' positions within ``margin`` of an alarm: how often a random date would be found."""
+    near = F.flatten(F.transform(alarms, lambda a: F.sequence(F.greatest(F.lit(0), a - margin), F.greatest(F.lit(0), F.least(n.cast("int") - 1, a + margin)))))
+    return F.when(n > 0, F.size(F.array_distinct(near)) / n).otherwise(0.0)
+
+
+def recent_alarm(flags: DataFrame, flag: str, width: int = 3) -> DataFrame:
+    """Whether one of the last ``width`` rows was flagged."""
+    by = Window.partitionBy("unique_id").orderBy("t").rowsBetween(1 - width, 0)
+    return flags.withColumn(f"{flag}_recent", F.max(flag).over(by))
+
+
+def exceedance(y: Column, lo: Column, hi: Column) -> Column:
+    """1 where the actual lies outside its interval; a missing bound or actual is no exceedance."""
+    return F.coalesce(((y < lo) | (y > hi)).cast("int"), F.lit(0))
+
+
 # -- synthetic breaks and labels -------------------------------------------------------------------
 
 
-def injected(y: Column, t: Column, tau: Column, kind: Column, delta: Column, n: Column, duration: int = 3) -> Column:
-    """Value with a break of the given shape from position ``tau`` on; NULL or negative tau leaves it, an unknown shape fails."""
+def injected(y: Column, t: Column, tau: Column, kind: Column, delta: Column, n: Column, duration: int = 3, draw: Column | None = None, spread: Column | None = None) -> Column:
+    """Value with a break of the given shape from position ``tau`` on; NULL or negative tau leaves it, an unknown shape fails.
+
+    A jump of the variance adds ``draw`` (standard normal, see ``normal_draw``) times |delta| times ``spread``, the
+    deviation of the values before the break, or their mean where they do not vary.
+    """
     k = t - tau
     rise = F.least(F.lit(1.0), (k + 1) / F.lit(float(duration)))
     during = k < duration
@@ -277,11 +357,25 @@ def injected(y: Column, t: Column, tau: Column, kind: Column, delta: Column, n:
         .when(kind == "temporary_drop", F.when(during, y * (1 - F.abs(delta))).otherwise(y))
         .when(kind == "temporary_spike", F.when(during, y * (1 + F.abs(delta))).otherwise(y))
         .when(kind == "gradual_drift", y * (1 + delta * rise))
+        .when(kind == "variance_jump", y + F.abs(delta) * spread * draw if draw is not None and spread is not None else F.raise_error(F.lit("variance_jump needs draws and a spread")).cast("double"))
         .otherwise(F.raise_error(F.concat(F.lit("unknown kind of break: "), F.coalesce(kind, F.lit("NULL")))).cast("double"))
     )
     return F.greatest(F.lit(0.0), F.when(F.coalesce(tau < 0, F.lit(True)) | (t < tau), y).otherwise(shape))
 
 
+def normal_draw(seed: int, *keys: str) -> Column:
+    """Standard normal numbers by a hash of the keys: the same in every run, independent of partitions."""
+    u = [(F.pmod(F.xxhash64(F.lit(seed + k), *keys), F.lit(1 << 30)) + 0.5) / float(1 << 30) for k in range(2)]
+    return F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * math.pi * u[1])
+
+
+def spread_before(y: Column, t: Column, tau: Column, window) -> Column:  # noqa: ANN001
+    """Deviation of a series' values before position tau, or their mean if they do not vary."""
+    past = F.when(t < tau, y)
+    sd = F.stddev_pop(past).over(window)
+    return F.greatest(F.when(sd > 0, sd).otherwise(F.avg(past).over(window)), F.lit(1e-9))
+
+
 def hazard_labels(positions: DataFrame, breaks: DataFrame, horizons: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """Whether a break lies within the next h positions, for each h."""
     taus = breaks.where("tau >= 0").groupBy("unique_id").agg(F.collect_set("tau").alias("taus"))

@@ -211,5 +211,157 @@ def _detector(name: str, parameter: float, stream: bool):  # noqa: ANN202
     return run
 
 
-for _name, _parameter, _on_stream in (("pelt_l2", 30.0, False), ("kernel_rbf", 3.0, False), ("binseg_l2", 30.0, False), ("window_l2", 20.0, False), ("bocpd", 0.3, True), ("adwin", 0.05, True)):
+for _name, _parameter, _on_stream in (("pelt_l2", 30.0, False), ("pelt_rbf", 3.0, False), ("kernel_rbf", 3.0, False), ("binseg_l2", 30.0, False), ("window_l2", 20.0, False), ("bocpd", 0.25, True)):
     query()(_detector(_name, _parameter, _on_stream))
+
+
+# -- all detectors over their grids --------------------------------------------------------------------
+
+#: The parameters each detector is tried with.
+ONLINE_GRID = {"cusum": (2, 3, 5, 8, 12), "page_hinkley": (3, 5, 8, 12, 20), "bocpd": (0.15, 0.2, 0.25, 0.3, 0.4, 0.5), "adwin": (0.05, 0.01, 0.002, 0.0005), "conformal": (1.5, 2.0, 2.5, 3.0)}
+OFFLINE_GRID = {"pelt_l2": (3, 10, 30, 100, 300), "pelt_rbf": (1, 3, 10), "kernel_rbf": (1, 3, 10), "binseg_l2": (3, 10, 30, 100, 300), "window_l2": (3, 10, 30, 100)}
+
+
+def _raw_stream(spark: SparkSession, root: str) -> DataFrame:
+    """Values against the median of their own past: the stream of detectors that see no forecast."""
+    return C.causal_zscores(_bench(spark, root), "y", center=True)
+
+
+def _raw_arrays(spark: SparkSession, root: str) -> DataFrame:
+    return C.series_arrays(_raw_stream(spark, root).withColumn("x", F.round(F.coalesce("z", F.lit(0.0)), 6)), "x", ["unique_id"])
+
+
+@query(_BENCH.replace("res AS (SELECT *, y - lag(y) OVER (PARTITION BY unique_id ORDER BY t) AS r FROM inj)", "res AS (SELECT *, y AS r FROM inj)").replace("CASE WHEN m IS NOT NULL THEN r / greatest(", "CASE WHEN m IS NOT NULL THEN (r - m) / greatest(") + " SELECT unique_id, t, round(z, 4) AS z FROM z")
+def raw_zscore(spark: SparkSession, root: str) -> DataFrame:
+    return _raw_stream(spark, root).select("unique_id", F.col("t").cast("long").alias("t"), *r4("z"))
+
+
+@query()
+def adwin_alarms(spark: SparkSession, root: str) -> DataFrame:
+    """Alarms of the adaptive window on the stream of values (iterative: no SQL twin)."""
+    return C.detect(_raw_arrays(spark, root), "adwin", 0.05).select("unique_id", F.explode("alarms").alias("t"))
+
+
+def _grid(spark: SparkSession, root: str) -> DataFrame:
+    from kronopanel.session import materialize
+
+    on = [("residual", _arrays(spark, root).select("unique_id", "xs"), ONLINE_GRID), ("raw", _raw_arrays(spark, root), ONLINE_GRID), ("noise units", _noise_arrays(spark, root), OFFLINE_GRID)]
+    parts = [C.grid_alarms(a, g).withColumn("detector", F.concat_ws("/", "detector", F.lit(name))) for name, a, g in on]
+    return materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]), "grid-alarms")
+
+
+@query()
+def calibrated_detectors(spark: SparkSession, root: str) -> DataFrame:
+    """Every detector and input: parameter by F1 on half the series, scores on the other half (hash split: no SQL twin)."""
+    out = C.calibrated(_grid(spark, root), _labels(spark, root))
+    return out.select("detector", "parameter", *r4("f1_calibration", "f1", "precision", "recall", "false_per_year"), "n_true", "n_pred")
+
+
+@query()
+def delay_curve(spark: SparkSession, root: str) -> DataFrame:
+    """Delay against false alarms for every detector and parameter (iterative detectors: no SQL twin)."""
+    return C.delay_curve(_grid(spark, root), _labels(spark, root)).select("detector", "parameter", *r4("false_per_year", "recall", "mean_delay"), "detected")
+
+
+_LIVE = f"""WITH RECURSIVE {OOF_SQL}, f AS (SELECT * FROM (SELECT * FROM oof WHERE model = 'ets' AND horizon <= 3) QUALIFY row_number() OVER (PARTITION BY unique_id, ds, model ORDER BY horizon, cutoff DESC, fold) = 1),
+r AS (SELECT unique_id, ds, y, y_hat, y - y_hat AS r, row_number() OVER (PARTITION BY unique_id ORDER BY ds) - 1 AS t FROM f), m AS (SELECT median(r) AS med, stddev_pop(r) AS sd FROM r), d AS (SELECT median(abs(r - med)) AS mad FROM r, m),
+x AS (SELECT unique_id, ds, t, y, y_hat, r, round(r / greatest(CASE WHEN mad > 0 THEN 1.4826 * mad ELSE sd END, 1e-9), 6) AS x FROM r, m, d)"""
+
+
+def _live(spark: SparkSession, root: str) -> DataFrame:
+    """The stream a live detector sees: one forecast per month, the shortest of at most three months, in units of its usual error."""
+    from pyspark.sql import Window
+
+    from kronopanel.operators.backtest import freshest_forecast
+
+    f = freshest_forecast(oof(spark, root).where("model = 'ets'"), 3)
+    f = f.select("unique_id", "ds", "y", "y_hat", (F.col("y") - F.col("y_hat")).alias("r"), F.lit("ets").alias("model"), (F.row_number().over(Window.partitionBy("unique_id").orderBy("ds")) - 1).alias("t"))
+    m = f.agg(F.median("r").alias("med"), F.stddev_pop("r").alias("sd"))
+    d = f.crossJoin(F.broadcast(m)).agg(F.median(F.abs(F.col("r") - F.col("med"))).alias("mad"), F.max("sd").alias("sd"))  # one row
+    scale = F.greatest(F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(F.col("sd")), F.lit(1e-9))
+    return f.crossJoin(F.broadcast(d)).withColumn("x", F.round(F.col("r") / scale, 6))
+
+
+@query(_LIVE + _cusum_sql("(3.0::DOUBLE)") + " SELECT c.unique_id, x.ds::VARCHAR AS ds, c.t::INT AS t FROM c JOIN x ON x.unique_id = c.unique_id AND x.t = c.t WHERE greatest(p, n) > thr")
+def live_alarms(spark: SparkSession, root: str) -> DataFrame:
+    """Alarms on the residuals of real forecasts, with their months."""
+    s = _live(spark, root)
+    a = C.cusum_alarms(C.series_arrays(s, "x"), 3.0).select("unique_id", F.explode("alarms").alias("t"))
+    return a.join(s.select("unique_id", "t", "ds"), ["unique_id", "t"]).select("unique_id", F.date_format("ds", "yyyy-MM-dd").alias("ds"), "t")
+
+
+@query(_LIVE + _cusum_sql("(3.0::DOUBLE)") + """, a AS (SELECT unique_id, count(*) AS k FROM c WHERE greatest(p, n) > thr GROUP BY 1)
+SELECT count(DISTINCT unique_id) AS series, round(count(*) / count(DISTINCT unique_id), 4) AS months_per_series, (SELECT coalesce(sum(k), 0)::BIGINT FROM a) AS alarms, (SELECT count(*) FROM a) AS series_with_alarm, round(avg((r > 0)::INT), 4) AS above_forecast FROM x""")
+def live_summary(spark: SparkSession, root: str) -> DataFrame:
+    s = _live(spark, root)
+    k = C.cusum_alarms(C.series_arrays(s, "x"), 3.0).agg(F.sum(F.size("alarms")).cast("long").alias("alarms"), F.count_if(F.size("alarms") > 0).alias("series_with_alarm"))
+    a = s.agg(F.count_distinct("unique_id").alias("series"), (F.count("*") / F.count_distinct("unique_id")).alias("months_per_series"), F.avg((F.col("r") > 0).cast("int")).alias("above_forecast"))
+    return a.crossJoin(k).select("series", *r4("months_per_series"), "alarms", "series_with_alarm", *r4("above_forecast"))  # one row each
+
+
+@query(_LIVE + """, f2 AS (SELECT unique_id, t, ds, (y < y_hat * 0.9 OR y > y_hat * 1.1)::INT AS flag FROM x), i AS (SELECT *, sum(1 - flag) OVER (PARTITION BY unique_id ORDER BY t) AS g FROM f2), k AS (SELECT *, row_number() OVER (PARTITION BY unique_id, g ORDER BY t) AS k FROM i WHERE flag = 1) SELECT unique_id, t FROM k WHERE k % 2 = 0""")
+def interval_alarms(spark: SparkSession, root: str) -> DataFrame:
+    """Two actuals in a row outside a band of a tenth around the forecast."""
+    s = _live(spark, root).select("unique_id", F.col("t").cast("long").alias("t"), C.exceedance(F.col("y"), F.col("y_hat") * 0.9, F.col("y_hat") * 1.1).alias("flag"))
+    return C.conformal_alarms(s, 2)
+
+
+@query(_BENCH + " SELECT unique_id, t, (abs(x) > 1.5)::INT AS flag, max((abs(x) > 1.5)::INT) OVER (PARTITION BY unique_id ORDER BY t ROWS 2 PRECEDING) AS flag_recent FROM x")
+def recent_alarms(spark: SparkSession, root: str) -> DataFrame:
+    flags = _stream(spark, root).select("unique_id", F.col("t").cast("long").alias("t"), (F.abs(F.round(F.coalesce("z", F.lit(0.0)), 6)) > 1.5).cast("int").alias("flag"))
+    return C.recent_alarm(flags, "flag")
+
+
+@query(_ALARMS + """, k AS (SELECT split_part(unique_id, '__', 1)::INT % 4 AS shape, (len(list_filter(a, lambda x: abs(x - tau) <= 1)) > 0)::INT AS m FROM j WHERE tau >= 0) SELECT shape, count(*) AS n_true, sum(m)::BIGINT AS matched, round(avg(m), 4) AS recall FROM k GROUP BY 1""")
+def recall_by_shape(spark: SparkSession, root: str) -> DataFrame:
+    """Recall of the sums by the shape of the break."""
+    r = C.cusum_alarms(_arrays(spark, root), 5.0).where("tau >= 0")
+    hit = C.match_within(F.array(F.col("tau").cast("int")), F.col("alarms"), 1)
+    return r.groupBy((F.split_part("unique_id", F.lit("__"), F.lit(1)).cast("int") % 4).alias("shape")).agg(F.count("*").alias("n_true"), F.sum(hit).alias("matched"), F.avg(hit).alias("recall")).select("shape", "n_true", "matched", *r4("recall"))
+
+
+@query(_ALARMS + """, w AS (SELECT unique_id, n_obs, unnest(a) AS c FROM j), p AS (SELECT DISTINCT unique_id, unnest(range(greatest(0, c - 1), least(n_obs - 1, c + 1) + 1)) AS t FROM w) SELECT j.unique_id, round(count(p.t) / any_value(j.n_obs), 4) AS coverage FROM j LEFT JOIN p USING (unique_id) GROUP BY 1""")
+def window_coverage(spark: SparkSession, root: str) -> DataFrame:
+    r = C.cusum_alarms(_arrays(spark, root), 5.0)
+    return r.select("unique_id", C.window_coverage(F.col("alarms"), F.col("n"), 1).alias("coverage")).select("unique_id", *r4("coverage"))
+
+
+@query(_ALARMS + """, ok AS (SELECT min(unique_id) AS u FROM j WHERE tau >= 0 AND split_part(unique_id, '__', 1)::INT % 4 = 1 AND len(list_filter(a, lambda x: x >= tau AND x <= tau + 3)) > 0) SELECT x.unique_id, x.t, x.tau, round(x.x, 4) AS x FROM x JOIN ok ON x.unique_id = ok.u""")
+def detector_demo(spark: SparkSession, root: str) -> DataFrame:
+    """The stream of the first level shift that was noticed within three months."""
+    from kronopanel.session import materialize
+
+    r = materialize(_arrays(spark, root), "streams")
+    seen = C.cusum_alarms(r, 5.0).where("tau >= 0 and int(split_part(unique_id, '__', 1)) % 4 = 1").where(F.exists("alarms", lambda a: (a >= F.col("tau")) & (a <= F.col("tau") + 3)))
+    first = seen.agg(F.min("unique_id").alias("unique_id"))
+    rows = r.join(F.broadcast(first), "unique_id").select("unique_id", "tau", F.explode("xs").alias("c"))  # one row
+    return rows.select("unique_id", F.col("c.t").cast("long").alias("t"), "tau", F.col("c.x").alias("x")).select("unique_id", "t", "tau", *r4("x"))
+
+
+@query()
+def recall_gap(spark: SparkSession, root: str) -> DataFrame:
+    """Recall of two detectors on the same breaks, with a paired bootstrap interval (seeded draws: no SQL twin).
+
+    Breaks are counted by the pair of outcomes, of which there are four; the bootstrap draws those counts.
+    """
+    import numpy as np
+
+    r = _arrays(spark, root).where("tau >= 0")
+    hit = lambda df, c: df.select("unique_id", (C.match_within(F.array(F.col("tau").cast("int")), F.col("alarms"), 1) > 0).cast("int").alias(c))
+    n = hit(C.cusum_alarms(r, 5.0), "a").join(hit(C.page_hinkley_alarms(r, 5.0), "b"), "unique_id").groupBy("a", "b").agg(F.count("*").alias("n")).orderBy("a", "b").collect()
+    total, weight, gap = sum(x.n for x in n), np.array([x.n for x in n], float), np.array([x.a - x.b for x in n], float)
+    draws = np.random.default_rng(0).multinomial(total, weight / max(total, 1), 2000) @ gap / max(total, 1) if total else np.zeros(1)
+    row = (float(weight @ gap / max(total, 1)), float(np.quantile(draws, 0.025)), float(np.quantile(draws, 0.975)), total)
+    return spark.createDataFrame([row], "gap double, low double, high double, breaks long").select(*r4("gap", "low", "high"), "breaks")
+
+
+@query()
+def variance_jumps(spark: SparkSession, root: str) -> DataFrame:
+    """Panel series with a jump of the variance from the tenth month on (hashed draws: no SQL twin)."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("unique_id")
+    p = numbered(panel(spark, root)).withColumn("n", F.count("*").over(own)).where("n >= 20").withColumn("tau", F.lit(10))
+    p = p.withColumn("spread", C.spread_before(F.col("y"), F.col("t"), F.col("tau"), own)).withColumn("draw", C.normal_draw(7, "unique_id", "t"))
+    y = C.injected(F.col("y"), F.col("t"), F.col("tau"), F.lit("variance_jump"), F.lit(2.0), F.col("n"), draw=F.col("draw"), spread=F.col("spread"))
+    return p.withColumn("y", y).select("unique_id", "t", *r4("y"))

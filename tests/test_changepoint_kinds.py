@@ -7,7 +7,7 @@ from kronopanel.operators import changepoint as C
 
 def test_unknown_kinds_of_break_are_refused(spark):
     df = spark.createDataFrame([(t, 10.0, 2, 6) for t in range(6)], "t int, y double, tau int, n int")
-    inject = lambda tau: df.select(C.injected(F.col("y"), F.col("t"), tau, F.lit("variance_jump"), F.lit(0.5), F.col("n")).alias("v")).collect()
+    inject = lambda tau: df.select(C.injected(F.col("y"), F.col("t"), tau, F.lit("swirl"), F.lit(0.5), F.col("n")).alias("v")).collect()
     assert [r.v for r in inject(F.lit(-1))] == [10.0] * 6
-    with pytest.raises(PySparkException, match="unknown kind of break: variance_jump"):
+    with pytest.raises(PySparkException, match="unknown kind of break: swirl"):
         inject(F.col("tau"))
