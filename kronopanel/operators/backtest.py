@@ -34,10 +34,10 @@ def folds_frame(spark: SparkSession, folds: Sequence[Fold]) -> DataFrame:
 
 
 def eligible(panel: DataFrame, folds: DataFrame, min_train_obs: int) -> DataFrame:
-    """(fold, series) with enough training rows; all folds in one aggregate over the panel."""
-    f = F.broadcast(folds)  # a few dozen configured windows
-    n = panel.join(f, panel["ds"] <= f["cutoff"]).groupBy("fold", "unique_id").agg(F.count("*").alias("n_train"), F.max("ds").alias("last_train"))
-    return n.where(F.col("n_train") >= min_train_obs)
+    """(fold, series) with enough training rows: folds meet one row per series, not one per observation."""
+    months = panel.groupBy("unique_id").agg(F.sort_array(F.collect_list("ds")).alias("d"))
+    n = months.crossJoin(F.broadcast(folds)).withColumn("d", F.filter("d", lambda x: x <= F.col("cutoff")))  # a few dozen configured windows
+    return n.where(F.size("d") >= max(1, min_train_obs)).select("fold", "unique_id", F.size("d").cast("long").alias("n_train"), F.element_at("d", -1).alias("last_train"))
 
 
 def split_train(panel: DataFrame, folds: DataFrame, min_train_obs: int = 1) -> DataFrame:

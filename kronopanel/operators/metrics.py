@@ -65,6 +65,32 @@ def summarize(oof: DataFrame, slices: Sequence[str]) -> DataFrame:
     )
 
 
+def metric_slices(oof: DataFrame, slices: Sequence[str], *, scales: DataFrame | None = None, levels: Sequence[float] = ()) -> DataFrame:
+    """``summarize`` with pooled R2, scaled error, pinball losses and coverage.
+
+    ``scales(unique_id, mase_scale)`` gives the scaled error: the mean over series of their mean ratio, series without
+    a positive scale left out.  ``levels`` names quantile columns ``q_<level>``; a metric of quantiles is given only where
+    none is missing in the slice.  Everything follows from sums per (model, slice, series): one shuffle of the rows.
+    """
+    o = oof.join(scales.where("mase_scale > 0"), "unique_id", "left") if scales is not None else oof.withColumn("mase_scale", F.lit(None).cast("double"))
+    q = [f"q_{x}" for x in levels]
+    sets = F.explode(F.array(F.struct(F.lit("overall").alias("slice"), F.lit("all").alias("value")), *[F.struct(F.lit(c).alias("slice"), F.col(c).cast("string").alias("value")) for c in slices]))
+    e, y = F.col("y") - F.col("y_hat"), F.col("y")
+    loss = lambda c, x: F.greatest(x * (y - F.col(f"`{c}`")), (x - 1) * (y - F.col(f"`{c}`")))
+    inside = ((y >= F.col(f"`{q[0]}`")) & (y <= F.col(f"`{q[-1]}`"))).cast("int") if q else F.lit(None).cast("int")
+    sums = [F.count("*").alias("n"), F.sum(F.abs(e)).alias("abs"), F.sum(e * e).alias("sq"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.max("mase_scale").alias("scale"), F.sum(inside).alias("inside")]
+    sums += [F.count(F.col(f"`{c}`")).alias(f"n_{i}") for i, c in enumerate(q)] + [F.sum(loss(c, x)).alias(f"l_{i}") for i, (c, x) in enumerate(zip(q, levels))]
+    per = o.select("model", "unique_id", "y", "y_hat", "mase_scale", *[F.col(f"`{c}`") for c in q], sets.alias("s")).select("*", "s.slice", "s.value").where("value is not null").groupBy("model", "slice", "value", "unique_id").agg(*sums)
+    n = F.sum("n")
+    spread = F.sum("syy") - F.sum("sy") * F.sum("sy") / n
+    whole = [F.sum(f"n_{i}") == n for i in range(len(q))]
+    out = [n.alias("n"), (F.lit(1.0) - F.try_divide(F.sum("sq"), spread)).alias("r2_pooled"), F.avg(F.col("abs") / F.col("n") / F.col("scale")).alias("mase")]
+    out += [F.when(whole[i], F.sum(f"l_{i}") / n).alias(f"pinball_{round(x * 100)}") for i, x in enumerate(levels)]
+    if q:
+        out.append(F.when(whole[0] & whole[-1], F.sum("inside") / n).alias("coverage"))
+    return per.groupBy("model", "slice", "value").agg(*out)
+
+
 def mase_scales(panel: DataFrame, seasonal: DataFrame) -> DataFrame:
     """Mean error of the seasonally adjusted naive forecast over consecutive months."""
     s = F.broadcast(seasonal.select("category", "month", F.col("index").alias("s")))  # categories x 12
@@ -186,6 +212,18 @@ def diebold_mariano(d: np.ndarray, horizon: int = 1) -> tuple[float, float, floa
     return stat, student_tail(stat, n - 1), float(d.mean()), n
 
 
+def panel_dm(oof: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``horizon, a, b, n, mean, stat``: loss differences averaged by series, the series being the sample of the test."""
+    e = F.abs(F.col("y") - F.col("y_hat"))
+    names = sorted({m for p in pairs for m in p})
+    wide = oof.where(F.col("model").isin(*names)).groupBy("horizon", "unique_id", "ds", "fold").agg(*[F.avg(F.when(F.col("model") == m, e)).alias(m) for m in names])
+    both = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(a) - F.col(b)).alias("d")) for a, b in pairs]))
+    per = wide.select("horizon", "unique_id", both.alias("p")).select("horizon", "unique_id", "p.*").where("d is not null").groupBy("horizon", "a", "b", "unique_id").agg(F.avg("d").alias("d"))
+    out = per.groupBy("horizon", "a", "b").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.var_pop("d").alias("v"))
+    n = F.col("n")
+    return out.select("horizon", "a", "b", "n", "mean", F.when((n >= 3) & (F.col("v") > 0), F.col("mean") / F.sqrt(F.col("v") / n) * F.sqrt((n - 1) / n)).alias("stat"))
+
+
 def chi_square_tail(x: float, df: int) -> float:
     """Upper tail of the chi-square law, by series or continued fraction of the gamma function."""
     a, x = df / 2, x / 2

@@ -174,16 +174,115 @@ def with_quantiles(oof: DataFrame, quantiles: DataFrame, levels: Sequence[float]
     return q.select(*oof.columns, *[F.greatest(F.lit(0.0), F.col("y_hat") * (1 + F.coalesce(F.col(f"`r_{x}`"), F.lit(0.0)))).alias(f"q_{x}") for x in levels])
 
 
-def fit_weights(gram: np.ndarray, cross: np.ndarray, rounds: int = 500) -> np.ndarray:
-    """Simplex weights of least squared error from its sufficient statistics, by exponentiated gradient."""
+def fit_weights(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """Simplex weights of least squared error from its sufficient statistics.
+
+    Models enter one at a time while the error falls in their direction and leave when their weight would turn
+    negative; on the models that carry weight the sum-to-one system is solved exactly.  Ends when no model can enter.
+    """
     k = len(cross)
-    w = np.full(k, 1.0 / k)
-    scale = max(np.abs(gram).max(), 1e-12)
-    g, c = gram / scale, cross / scale
-    for i in range(rounds):
-        step = w * np.exp(-2.0 / (1 + i / 100) * 2 * (g @ w - c))
-        w = step / step.sum()
-    return w
+    scale = max(float(np.abs(gram).max()), 1e-300)
+    g, c = gram / scale + 1e-12 * np.eye(k), cross / scale
+    active = [int(np.argmin(np.diag(g) - 2 * c))]
+    w = np.zeros(k)
+    w[active] = 1.0
+    for _ in range(10 * k + 10):
+        slope = 2 * (g @ w - c)
+        best = min(slope[active])
+        enter = int(np.argmin(slope))
+        if slope[enter] >= best - 1e-10 or enter in active:
+            break
+        active.append(enter)
+        while True:
+            m = len(active)
+            system = np.block([[2 * g[np.ix_(active, active)], np.ones((m, 1))], [np.ones((1, m)), np.zeros((1, 1))]])
+            target = np.linalg.lstsq(system, np.append(2 * c[active], 1.0), rcond=None)[0][:m]
+            if (target > 0).all():
+                w[:] = 0
+                w[active] = target
+                break
+            now = w[active]
+            fall = target <= 0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                step = float(np.min(np.where(fall, now / (now - target), np.inf)))
+            w[active] = now + step * (target - now)
+            active = [i for i in active if w[i] > 1e-12] or [int(np.argmax(w))]
+            w[[i for i in range(k) if i not in active]] = 0
+    return w / w.sum()
+
+
+def least_absolute_weights(history: DataFrame, models: Sequence[str], *, group: str = "group", rounds: int = 25, tolerance: float = 1e-4) -> DataFrame:
+    """``group, model, weight``: simplex weights of least absolute error, all groups at once.
+
+    ``history`` has a row per observation with the group, ``y`` and a column per model.  Iteratively reweighted least
+    squares: each round is one aggregate over the history into sums of products (models squared numbers per group)
+    and a solve on those; it ends when no weight moves by more than ``tolerance``.  A model that lacks a forecast of
+    any observation of a group gets no weight there; fewer than two such models share it equally.
+    """
+    from kronopanel.session import materialize
+
+    spark, k = history.sparkSession, len(models)
+    h = materialize(history.select(F.col(group).cast("string").alias("g"), F.col("y").cast("double").alias("y"), *[F.col(f"`{m}`").cast("double").alias(f"x{i}") for i, m in enumerate(models)]).where("y is not null"), "history")
+    x = [F.coalesce(F.col(f"x{i}"), F.lit(0.0)) for i in range(k)]
+    counts = h.groupBy("g").agg(F.count("*").alias("n"), F.avg(F.abs("y")).alias("level"), *[F.count(f"x{i}").alias(f"c{i}") for i in range(k)]).collect()  # a row per group
+    usable = {r.g: [i for i in range(k) if r[f"c{i}"] == r.n] for r in counts}
+    level = {r.g: float(r.level or 1.0) for r in counts}
+    weights = {r.g: np.array([1.0 / max(len(usable[r.g]), 1) if i in usable[r.g] else 0.0 for i in range(k)]) if len(usable[r.g]) > 1 else np.full(k, 1.0 / k) for r in counts}
+    moving = {g for g, own in usable.items() if len(own) > 1}
+    for _ in range(rounds):
+        if not moving:
+            break
+        now = spark.createDataFrame([(g, 1e-6 * level[g] + 1e-12, *map(float, weights[g])) for g in sorted(moving)], "g string, floor double, " + ", ".join(f"w{i} double" for i in range(k)))
+        r = sum((x[i] * F.col(f"w{i}") for i in range(1, k)), x[0] * F.col("w0"))
+        v = 1 / F.greatest(F.abs(F.col("y") - r), F.col("floor"))
+        sums = [F.sum(F.col("v") * x[i] * x[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(F.col("v") * x[i] * F.col("y")).alias(f"c{i}") for i in range(k)]
+        still = set()
+        for row in h.join(F.broadcast(now), "g").withColumn("v", v).groupBy("g").agg(*sums).collect():  # a row per group
+            own = usable[row.g]
+            gram = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in own] for i in own])
+            new = np.zeros(k)
+            new[own] = fit_weights(gram, np.array([row[f"c{i}"] for i in own]))
+            if np.abs(new - weights[row.g]).max() > tolerance:
+                still.add(row.g)
+            weights[row.g] = new
+        moving = still
+    return spark.createDataFrame([(g, m, float(w[i])) for g, w in sorted(weights.items()) for i, m in enumerate(models)], "group string, model string, weight double")
+
+
+def rolling_origin_weights(oof: DataFrame, models: Sequence[str], *, by: str | None = None) -> DataFrame:
+    """``horizon, fold, [by,] model, weight``: weights of each fold from what was known at its cutoff.
+
+    The history of a fold are the observations of all other folds, of every horizon, whose month is not after the
+    cutoff; a fold without history weighs its models equally.
+    """
+    keys = ["unique_id", "ds", "fold"]
+    folds = oof.groupBy("fold").agg(F.min("cutoff").alias("cut"), F.min("horizon").alias("horizon"))  # one row per window
+    wide = oof.where(F.col("model").isin(*models)).groupBy(*keys, *([by] if by else [])).agg(F.max("y").alias("y"), *[F.avg(F.when(F.col("model") == m, F.col("y_hat"))).alias(m) for m in models])
+    past = wide.withColumnRenamed("fold", "past").join(F.broadcast(folds), (F.col("ds") <= F.col("cut")) & (F.col("past") != F.col("fold")))
+    label = F.concat_ws("|", "fold", *([by] if by else []))
+    fitted = least_absolute_weights(past.withColumn("group", label), models).select("group", "model", "weight")
+    every = oof.select("fold", *([by] if by else [])).distinct().join(F.broadcast(folds.select("fold", "horizon")), "fold").withColumn("group", label).withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    return every.join(F.broadcast(fitted), ["group", "model"], "left").select("horizon", "fold", *([by] if by else []), "model", F.coalesce("weight", F.lit(1.0 / len(models))).alias("weight"))
+
+
+def rolling_origin_ensemble(oof: DataFrame, models: Sequence[str], *, by: str | None = None, name: str = "ensemble") -> DataFrame:
+    """The ensemble's forecast of every observation that all its weighted models predicted, with the observation's own columns.
+
+    Quantiles are averaged over the models that have them and recentred on the point forecast.
+    """
+    w = rolling_origin_weights(oof, models, by=by)
+    on = ["fold", *([by] if by else [])]
+    out = combine(oof.where(F.col("model").isin(*models)), w.drop("horizon"), on)
+    return attach_observation(out.withColumn("model", F.lit(name)), oof)
+
+
+def attach_observation(frame: DataFrame, oof: DataFrame) -> DataFrame:
+    """Columns of the observation (cutoff, step, slices) for a derived forecast; never those of one model's prediction."""
+    keys = ["unique_id", "ds", "fold"]
+    own = [c for c in oof.columns if c not in frame.columns and c not in ("model", "y", "y_hat") and not c.startswith("q_")]
+    if not own:
+        return frame
+    return frame.join(oof.groupBy(*keys).agg(*[F.min(f"`{c}`").alias(c) for c in own]), keys, "left")
 
 
 def weights_as_of(oof: DataFrame, cutoff: str, models: Sequence[str], group: str | None = None) -> DataFrame:

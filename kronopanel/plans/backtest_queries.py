@@ -9,7 +9,7 @@ from kronopanel.operators import backtest as B
 from kronopanel.operators import metrics as M
 from kronopanel.operators.features import panel_seasonal_index
 from kronopanel.plans.inputs import MI, OOF_SQL, PANEL_SQL, Registry, oof, panel, r4, s4
-from kronopanel.session import table
+from kronopanel.session import materialize, table
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -64,8 +64,9 @@ refoof AS (SELECT t.fold, p.unique_id, p.ds, p.category, t.cutoff, t.horizon, p.
 
 
 def _reference_oof(spark: SparkSession, root: str) -> DataFrame:
+    """Built once and read as often as a query needs it."""
     p, f = panel(spark, root), _folds(spark)
-    return B.build_oof(B.split_test(p, f, 6), B.reference_forecasts(p, f, 6))
+    return materialize(B.build_oof(B.split_test(p, f, 6), B.reference_forecasts(p, f, 6)), "reference-oof")
 
 
 @query(_FORECAST + " SELECT fold, unique_id, ds, model, step, y, round(y_hat, 4) AS y_hat FROM refoof")
@@ -267,3 +268,52 @@ def multiset_difference(spark: SparkSession, root: str) -> DataFrame:
     a, b = table(spark, root, "oof_old").select(*cols), table(spark, root, "oof_new").select(*cols)
     count = lambda df, name: df.agg(F.count("*").alias(name))
     return count(a.exceptAll(b), "only_old").crossJoin(count(b.exceptAll(a), "only_new")).crossJoin(count(a.intersect(b), "shared"))
+
+
+# -- slices with pooled R2, scaled errors and quantiles; tests between models --------------------------
+
+_PARTS = "".join(f" UNION ALL SELECT model, unique_id, y, y_hat, q10, q90, mase_scale, '{c}', {c}::VARCHAR FROM o" for c in ("category", "step", "horizon", "fold"))
+_SLICED = _FORECAST + "," + _SCALES.removeprefix(f"WITH {PANEL_SQL}, ").removeprefix(OOF_SQL + ", ") + f""", o AS (SELECT r.*, CASE WHEN model <> 'drift' OR step <> 2 THEN y_hat * 0.9 END AS q10, y_hat * 1.1 AS q90, CASE WHEN s.mase_scale > 0 THEN s.mase_scale END AS mase_scale FROM refoof r LEFT JOIN scales s USING (unique_id)),
+sl AS (SELECT model, unique_id, y, y_hat, q10, q90, mase_scale, 'overall' AS slice, 'all' AS value FROM o{_PARTS}),
+per AS (SELECT model, slice, value, unique_id, count(*) AS n, sum(abs(y - y_hat)) AS a, max(mase_scale) AS sc FROM sl GROUP BY ALL), m AS (SELECT model, slice, value, avg(a / n / sc) AS mase FROM per GROUP BY ALL),
+g AS (SELECT model, slice, value, count(*) AS n, 1 - sum((y - y_hat) * (y - y_hat)) / nullif(var_pop(y) * count(*), 0) AS r2_pooled, CASE WHEN count(q10) = count(*) THEN avg(greatest(0.1 * (y - q10), -0.9 * (y - q10))) END AS pinball_10,
+  avg(greatest(0.9 * (y - q90), -0.1 * (y - q90))) AS pinball_90, CASE WHEN count(q10) = count(*) THEN avg((y >= q10 AND y <= q90)::INT) END AS coverage FROM sl GROUP BY ALL)
+SELECT model, slice, value, n, {s4("r2_pooled", "mase", "pinball_10", "pinball_90", "coverage")} FROM g JOIN m USING (model, slice, value)"""
+
+
+@query(_SLICED)
+def metric_slices(spark: SparkSession, root: str) -> DataFrame:
+    """Pooled R2, scaled error, pinball and coverage of the reference forecasts, overall and by slice."""
+    p = panel(spark, root)
+    o = _reference_oof(spark, root).withColumn("q_0.1", F.when((F.col("model") != "drift") | (F.col("step") != 2), F.col("y_hat") * 0.9)).withColumn("q_0.9", F.col("y_hat") * 1.1)
+    out = M.metric_slices(o, ["category", "step", "horizon", "fold"], scales=M.mase_scales(p, panel_seasonal_index(p)), levels=(0.1, 0.9))
+    return out.select("model", "slice", "value", "n", *r4("r2_pooled", "mase", "pinball_10", "pinball_90", "coverage"))
+
+
+_DM_PAIRS = (("seasonal_naive", "naive"), ("drift", "naive"), ("drift", "seasonal_naive"))
+
+
+@query(_FORECAST + ", d AS (" + " UNION ALL ".join(f"SELECT a.horizon, '{x}' AS a, '{z}' AS b, a.unique_id, avg(abs(a.y - a.y_hat) - abs(b.y - b.y_hat)) AS d FROM refoof a JOIN refoof b USING (unique_id, ds, fold, horizon) WHERE a.model = '{x}' AND b.model = '{z}' GROUP BY ALL" for x, z in _DM_PAIRS) + """)
+SELECT horizon, a, b, count(*) AS n, round(avg(d), 4) AS mean, round(CASE WHEN count(*) >= 3 AND var_pop(d) > 0 THEN avg(d) / sqrt(var_pop(d) / count(*)) * sqrt((count(*) - 1) / count(*)) END, 4) AS stat FROM d GROUP BY ALL""")
+def dm_tests(spark: SparkSession, root: str) -> DataFrame:
+    """Paired tests between the reference models at each horizon, series by series."""
+    return M.panel_dm(_reference_oof(spark, root), _DM_PAIRS).select("horizon", "a", "b", "n", *r4("mean", "stat"))
+
+
+@query()
+def dm_p_values(spark: SparkSession, root: str) -> DataFrame:
+    """The same with two-sided p values of Student's t (no SQL twin: its distribution)."""
+    rows = M.panel_dm(_reference_oof(spark, root), _DM_PAIRS).collect()  # horizons x pairs
+    return spark.createDataFrame([(r.horizon, r.a, r.b, r.stat, None if r.stat is None else M.student_tail(r.stat, r.n - 1)) for r in rows], "horizon int, a string, b string, stat double, p double").select("horizon", "a", "b", *r4("stat", "p"))
+
+
+@query()
+def friedman_test(spark: SparkSession, root: str) -> DataFrame:
+    """Whether the models' mean ranks over series differ, and by how much two must (no SQL twin: distributions)."""
+    e = _reference_oof(spark, root).groupBy("unique_id", "model").agg(F.round(M.mae(F.col("y"), F.col("y_hat")), 6).alias("err"))
+    ranks = M.rank_models(e, "unique_id").collect()  # a row per model
+    if len(ranks) < 3:
+        return spark.createDataFrame([], "models int, blocks long, statistic double, p double, critical_difference double")
+    n = ranks[0].blocks
+    stat, p = M.friedman([r.mean_rank for r in ranks], n)
+    return spark.createDataFrame([(len(ranks), n, stat, p, M.nemenyi_difference(len(ranks), n))], "models int, blocks long, statistic double, p double, critical_difference double").select("models", "blocks", *r4("statistic", "p", "critical_difference"))

@@ -84,6 +84,32 @@ def hazard_model(spark: SparkSession, root: str) -> DataFrame:
     return scored.crossJoin(F.broadcast(cut)).select("unique_id", "t", "label", *r4("p"), (F.col("p") >= F.col("threshold")).alias("alarm"))
 
 
+_ENSEMBLE = ("naive", "seasonal_naive", "drift")
+
+
+def _pool(spark: SparkSession, root: str) -> DataFrame:
+    from kronopanel.plans.backtest_queries import _reference_oof
+
+    return _reference_oof(spark, root)
+
+
+@query()
+def rolling_weights(spark: SparkSession, root: str) -> DataFrame:
+    """Least-absolute-error weights of every fold of every horizon, from what was known at its cutoff (iterative: no SQL twin)."""
+    return L.rolling_origin_weights(_pool(spark, root), _ENSEMBLE).select("horizon", "fold", "model", *r4("weight"))
+
+
+@query()
+def rolling_ensemble(spark: SparkSession, root: str) -> DataFrame:
+    """Error of the rolling-origin ensembles, pooled and by category, beside their models, at each horizon."""
+    o = materialize(_pool(spark, root), "pool")
+    q = L.with_quantiles(o, L.residual_quantiles(o.where("ds <= date'2024-03-01'"), (0.1, 0.5, 0.9)), (0.1, 0.5, 0.9))
+    cols = ["model", "horizon", "unique_id", "ds", "fold", "y", "y_hat", "step", "category", "cutoff"]
+    both = [L.rolling_origin_ensemble(q, _ENSEMBLE).select(*cols), L.rolling_origin_ensemble(o, _ENSEMBLE, by="category", name="ensemble by category").select(*cols)]
+    rows = o.select(*cols).unionByName(both[0]).unionByName(both[1])
+    return rows.groupBy("model", "horizon").agg(F.count("*").alias("n"), mae(F.col("y"), F.col("y_hat")).alias("mae")).select("model", "horizon", "n", *r4("mae"))
+
+
 def _replayed(spark: SparkSession, root: str, what: str) -> DataFrame:
     """The batch stream written as files, read back as a stream, and run to its end."""
     x = _stream(spark, root).select("unique_id", F.col("ds").cast("timestamp").alias("ts"), F.round(F.coalesce("z", F.lit(0.0)), 6).alias("x"))
