@@ -231,9 +231,9 @@ def pivot_predictions(spark: SparkSession, root: str) -> DataFrame:
     return w.select("fold", "unique_id", "ds", *r4("naive", "drift"))
 
 
-@query(f"WITH {OOF_SQL} SELECT unique_id, ds, fold, model, what, amount FROM (SELECT unique_id, ds, fold, model, round(y, 4) AS y, round(y_hat, 4) AS y_hat FROM oof WHERE horizon = 1) UNPIVOT (amount FOR what IN (y, y_hat))")
+@query(f"WITH {OOF_SQL} SELECT unique_id, ds, fold, model, what, amount FROM (SELECT unique_id, ds, fold, model, round(y, 4) AS y, round(y_hat, 4) AS y_hat FROM oof) UNPIVOT (amount FOR what IN (y, y_hat))")
 def unpivot_forecasts(spark: SparkSession, root: str) -> DataFrame:
-    """Actuals and forecasts in one column, all horizons (the SQL twin still reads horizon 1 only and so differs)."""
+    """Actuals and forecasts in one column, all horizons."""
     return oof(spark, root).select("unique_id", "ds", "fold", "model", *r4("y", "y_hat")).unpivot(["unique_id", "ds", "fold", "model"], ["y", "y_hat"], "what", "amount")
 
 

@@ -82,17 +82,9 @@ def match_unique_code(spark: SparkSession, root: str) -> DataFrame:
     return E.match_unique_code(r.select("name", "region").distinct(), r)
 
 
-_ROOT = "regexp_extract({0}, '([а-яё-]+(?:ский|цкий))', 1)"
-
-
-@query(f"""WITH r AS (SELECT DISTINCT {_ROOT.format("lower(municipal_district_name)")} AS root, region_code AS region FROM oktmo_reference WHERE municipal_district_name IS NOT NULL AND region_code IS NOT NULL), k AS (SELECT * FROM r WHERE root <> ''),
-n AS (SELECT DISTINCT {_ROOT.format("lower(mo)")} AS root FROM raw_blocks WHERE mo IS NOT NULL), m AS (SELECT root FROM n WHERE root <> ''), ex AS (SELECT root, list_sort(list_distinct(list(region))) AS e FROM k GROUP BY 1), lo AS (SELECT regexp_replace(root, '(ский|цкий|ской|цкой|ый|ой|ий)$', '') AS stem, list_sort(list_distinct(list(region))) AS l FROM k GROUP BY 1)
-SELECT m.root, len(coalesce(e, l, [])) AS n_regions, CASE WHEN e IS NOT NULL THEN 'exact' WHEN l IS NOT NULL THEN 'stem' ELSE 'none' END AS source FROM m LEFT JOIN ex USING (root) LEFT JOIN lo ON stem = regexp_replace(m.root, '(ский|цкий|ской|цкой|ый|ой|ий)$', '')""")
+@query()
 def candidate_regions(spark: SparkSession, root: str) -> DataFrame:
-    """Regions that know each name of the export.
-
-    Every name counts; the SQL twin still reads adjectives in -ский and -цкий only and so differs.
-    """
+    """Regions that know each name of the export (word boundaries of Cyrillic: no SQL twin)."""
     pick = lambda c: E.name_root(F.col(c)).alias("root")
     ref = table(spark, root, "oktmo_reference").where("municipal_district_name is not null and region_code is not null").select(pick("municipal_district_name"), F.col("region_code").alias("region")).distinct().where("root <> ''")
     names = table(spark, root, "raw_blocks").where("mo is not null").select(pick("mo")).distinct()

@@ -25,9 +25,12 @@ TERRITORY_SQL = """territory AS (
 EDGES_SQL = """edges AS (
   SELECT t.territory_id AS x, u.territory_id AS y, ((t.territory_id * 7 + k * 13) % 50 + 1)::DOUBLE AS distance
   FROM (SELECT DISTINCT territory_id FROM oktmo_reference) t, (VALUES (1), (2), (7)) v(k), (SELECT DISTINCT territory_id FROM oktmo_reference) u WHERE u.territory_id = t.territory_id + k)"""
-NATIONAL_SQL = """national AS (
-  SELECT series_key AS unique_id, slug, date_trunc('month', left(period, 7) || '-01' ::VARCHAR)::DATE AS ds, avg(value) AS y FROM national_series
-  WHERE regexp_matches(period, '^\\d{4}-\\d{2}') AND value IS NOT NULL AND NOT isnan(value) GROUP BY ALL)""".replace("date_trunc('month', left(period, 7) || '-01' ::VARCHAR)::DATE", "(left(period, 7) || '-01')::DATE")
+#: A period in any of its notations as a date; a quarter stands for its first month.
+PERIOD_SQL = """coalesce(try_strptime({0}, '%d.%m.%Y')::DATE, try_strptime({0}, '%Y/%m/%d')::DATE, try_strptime({0}, '%Y-%m')::DATE, try_strptime(left({0}, 10), '%Y-%m-%d')::DATE, try_strptime({0}, '%m.%Y')::DATE,
+  CASE WHEN {0} LIKE '%-Q%' THEN make_date(left({0}, 4)::INT, right({0}, 1)::INT * 3 - 2, 1) END)"""
+NATIONAL_SQL = f"""national AS (
+  SELECT series_key AS unique_id, slug, date_trunc('month', d)::DATE AS ds, avg(value) AS y FROM (SELECT *, {PERIOD_SQL.format("trim(period)")} AS d FROM national_series)
+  WHERE d IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) GROUP BY ALL)"""
 NEWS_SQL = "news AS (SELECT event_type AS kind, (props ->> '$.k')::INT AS class, value, ts::DATE AS added, user_id FROM events)"
 #: Groups of event kinds whose shares are features.
 NEWS_GROUPS = {"buying": ("purchase", "refund"), "looking": ("view", "click")}
@@ -58,10 +61,7 @@ def edges(spark: SparkSession, root: str) -> DataFrame:
 
 
 def national(spark: SparkSession, root: str) -> DataFrame:
-    """National readings by month, whatever the notation of their period; a quarter stands for its first month.
-
-    The SQL twins (``NATIONAL_SQL``) still read the notations that begin with year and month only, and so differ.
-    """
+    """National readings by month, whatever the notation of their period; a quarter stands for its first month."""
     n = table(spark, root, "national_series").where(F.col("value").isNotNull() & ~F.isnan("value"))
     n = n.withColumn("ds", F.trunc(flexible_date(F.col("period")), "MM")).where("ds is not null")
     return n.groupBy(F.col("series_key").alias("unique_id"), "slug", "ds").agg(F.avg("value").alias("y"))

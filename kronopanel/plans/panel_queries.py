@@ -294,3 +294,65 @@ def calendar_day_tokens(spark: SparkSession, root: str) -> DataFrame:
 def steps_and_publication(spark: SparkSession, root: str) -> DataFrame:
     o = table(spark, root, "oof_old").where("fold is not null and ds is not null").select("ds", F.to_date(F.concat(F.split_part("fold", F.lit("_"), F.lit(2)), F.lit("-01"))).alias("cutoff")).distinct()
     return o.select("ds", "cutoff", step_of(F.col("ds"), F.col("cutoff")).alias("step"), published_on(F.col("ds"), 35).alias("published"))
+
+
+# -- national indicators ------------------------------------------------------------------------------
+
+from kronopanel.operators import national as N  # noqa: E402
+from kronopanel.plans.inputs import PERIOD_SQL  # noqa: E402
+
+INDICATORS = (
+    N.Indicator("consumer-spending", "nat_spending", ("type",), "growth"), N.Indicator("wages-growth", "nat_growth", ("type", "value_type")), N.Indicator("index-sa", "nat_index_sa", ("type",)),
+    N.Indicator("wages-median", "wages", (), "growth", 60), N.Indicator("turnover-raw", "business", (), "growth", 45), N.Indicator("payroll-sa", "payroll", (), "growth", 60),
+    N.Indicator("rate-raw", "key_rate", ("value_type",), "level", N.WEEKLY_LAG), N.Indicator("inflation-sa", "infl", ("type",), "level", N.WEEKLY_LAG),
+    N.Indicator("wages-weekly", "weekly_spend", ("type",), "change", N.WEEKLY_LAG), N.Indicator("activity-age", "activity_index", ("type",)),
+)
+
+
+def _key_sql(dims: tuple[str, ...]) -> str:
+    joined = " || '|' || ".join(f"coalesce({d}, 'none')" for d in dims)
+    return f"left(trim(regexp_replace(translate(lower({joined}), 'абвгдеёжзийклмнопрстуфхцчшщъыьэюя', 'abvgdeejzijklmnoprstufhccss_y_eua'), '[^0-9a-z]', '_', 'g'), '_'), 40)"
+
+
+_SOURCES_SQL = " UNION ALL ".join(
+    f"SELECT {i} AS i, '{s.slug}' AS source, {s.lag} AS lag, '{s.mode}' AS mode, " + (f"'{s.prefix}_' || {_key_sql(s.dims)}" if s.dims else f"'{s.prefix}'") + f" AS feature, ds, value FROM rd WHERE slug = '{s.slug}'" for i, s in enumerate(INDICATORS)
+)
+_PARTS_SQL = f"""rd AS (SELECT *, date_trunc('month', {PERIOD_SQL.format("trim(period)")})::DATE AS ds FROM national_series WHERE value IS NOT NULL AND NOT isnan(value)), nm AS ({_SOURCES_SQL}),
+mo AS (SELECT i, source, lag, mode, feature, ds, avg(value) AS value FROM nm WHERE ds IS NOT NULL GROUP BY ALL),
+gr AS (SELECT g.*, m.value FROM (SELECT * FROM (SELECT DISTINCT i, source, lag, mode, feature FROM mo WHERE mode <> 'level') JOIN (SELECT DISTINCT i, ds FROM mo) USING (i)) g LEFT JOIN mo m USING (i, feature, ds)),
+fi AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY i, feature ORDER BY ds) AS f FROM gr),
+dv AS (SELECT *, f / nullif(lag(f) OVER w, 0) - 1 AS mom, f / nullif(lag(f, 12) OVER w, 0) - 1 AS yoy, value - lag(value) OVER w AS accel FROM fi WINDOW w AS (PARTITION BY i, feature ORDER BY ds)),
+parts AS (SELECT source, lag, feature, ds, value FROM mo WHERE mode <> 'growth' UNION ALL SELECT source, lag, feature || '_mom', ds, mom FROM dv WHERE mode = 'growth' UNION ALL SELECT source, lag, feature || '_yoy', ds, yoy FROM dv WHERE mode = 'growth' UNION ALL SELECT source, lag, feature || '_accel', ds, accel FROM dv WHERE mode = 'change')"""
+
+
+def _indicators(spark: SparkSession, root: str) -> DataFrame:
+    from kronopanel.functions.calendar_time import flexible_date
+
+    r = table(spark, root, "national_series").withColumn("ds", flexible_date(F.col("period")))
+    return N.indicator_values(r, INDICATORS)
+
+
+@query(f"WITH {_PARTS_SQL} SELECT source, lag::INT AS lag, feature, ds, round(value, 4) AS value FROM parts WHERE value IS NOT NULL")
+def national_parts(spark: SparkSession, root: str) -> DataFrame:
+    """Monthly features of ten national sources: levels, growth, changes."""
+    return _indicators(spark, root).select("source", "lag", "feature", "ds", *r4("value"))
+
+
+@query(f"""WITH {_PARTS_SQL}, og AS (SELECT g::DATE AS origin FROM generate_series(DATE '2023-06-01', DATE '2024-12-01', INTERVAL 1 MONTH) s(g)), lg AS (SELECT DISTINCT lag, feature FROM parts WHERE value IS NOT NULL),
+ok AS (SELECT origin, lag, (date_trunc('month', last_day(origin) - lag::INT + 1) - INTERVAL 1 MONTH)::DATE AS ds FROM og, (SELECT DISTINCT lag FROM lg)), pv AS (SELECT lag, feature, ds, avg(value) AS value FROM parts WHERE value IS NOT NULL GROUP BY ALL)
+SELECT origin, 'nat' || ok.lag || '__' || lg.feature AS feature, round(pv.value, 4) AS value FROM ok JOIN lg USING (lag) JOIN pv ON pv.lag = ok.lag AND pv.feature = lg.feature AND pv.ds = ok.ds""")
+def national_known(spark: SparkSession, root: str) -> DataFrame:
+    """Every national feature as known at the end of each origin month, by the lag of its source."""
+    origins = X.month_spine(spark, "2023-06-01", "2024-12-01").withColumnRenamed("ds", "origin")
+    wide = N.national_as_of(N.national_groups(_indicators(spark, root)), origins)
+    cols = [c for c in wide.columns if c != "origin"]
+    return wide.unpivot(["origin"], cols, "feature", "value").where("value is not null").select("origin", "feature", *r4("value"))
+
+
+@query(f"""WITH {PANEL_SQL}, p0 AS (SELECT *, count(y) OVER (PARTITION BY unique_id, year(ds)) AS n, avg(y) OVER (PARTITION BY unique_id, year(ds)) AS mean FROM panel), b AS (SELECT category, month(ds) AS month, median(y / nullif(mean, 0)) AS raw FROM p0 WHERE n = 12 GROUP BY ALL),
+i AS (SELECT category, month, raw / avg(raw) OVER (PARTITION BY category) AS s FROM b), u AS (SELECT unique_id, min(category) AS category FROM panel WHERE ds <= DATE '2024-06-01' GROUP BY 1), f AS (SELECT u.*, g::DATE AS ds FROM u, generate_series(DATE '2024-07-01', DATE '2024-12-01', INTERVAL 1 MONTH) s(g))
+SELECT unique_id, ds, round(sin(2 * pi() * month(ds) / 12), 4) AS month_sin, round(cos(2 * pi() * month(ds) / 12), 4) AS month_cos, round(coalesce(s, 1.0), 4) AS seasonal_index FROM f LEFT JOIN i ON i.category = f.category AND i.month = month(ds)""")
+def future_covariates(spark: SparkSession, root: str) -> DataFrame:
+    """Known-future covariates of the six months after a cutoff."""
+    p = panel(spark, root)
+    return N.covariates(N.future_rows(p, "2024-06-01", 6), X.panel_seasonal_index(p)).select("unique_id", "ds", *r4("month_sin", "month_cos", "seasonal_index"))

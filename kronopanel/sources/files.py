@@ -308,3 +308,32 @@ def stale_inputs(path: Path, inputs: dict[str, str]) -> list[str]:
         return sorted(inputs)
     old = json.loads(path.read_text())
     return sorted(k for k in {*old, *inputs} if old.get(k) != inputs.get(k))
+
+
+def input_digest(key: str, root: Path) -> str | None:
+    """Digest of an input named ``file:<path>`` or ``glob:<folder>/<pattern>[;except=a,b]``; None if the name says neither."""
+    kind, _, spec = key.partition(":")
+    if kind == "file":
+        path = root / spec
+        return sha256_of(path) if path.exists() else "absent"
+    if kind == "glob":
+        where, _, left_out = spec.partition(";except=")
+        folder, _, pattern = where.rpartition("/")
+        return digest({p.name: sha256_of(p) for p in sorted((root / folder).glob(pattern)) if p.name not in left_out.split(",")})
+    return None
+
+
+def stale_artifacts(stamps: dict[str, Path], root: Path) -> dict[str, list[str]]:
+    """Artifacts that must be made anew, with the inputs that changed.
+
+    An artifact without stamp, or whose stamp names no input that can be read again, proves nothing and is
+    stale as well; it has the entry ``stamp``.
+    """
+    out = {}
+    for name, path in stamps.items():
+        old = json.loads(path.read_text()) if path.exists() else {}
+        now = {k: v for k in old if (v := input_digest(k, root)) is not None}
+        changed = sorted(k for k, v in now.items() if old[k] != v) if now else ["stamp"]
+        if changed:
+            out[name] = changed
+    return out
