@@ -144,3 +144,61 @@ def stream_page_hinkley(spark: SparkSession, root: str) -> DataFrame:
 def windowed_event_counts(spark: SparkSession, root: str) -> DataFrame:
     """Daily counts by the windowed aggregate that also runs on streams."""
     return S.windowed_counts(table(spark, root, "events")).select("start", "event_type", "n", *r4("mean"))
+
+
+# -- ablations and tuning -----------------------------------------------------------------------------
+
+
+def _exogenous(spark: SparkSession, root: str):  # noqa: ANN202
+    """Adds calendar, seasonal and national columns to (origin, ds) rows."""
+    from kronopanel.operators import national as N
+    from kronopanel.operators.features import panel_seasonal_index
+    from kronopanel.plans.panel_queries import INDICATORS, _indicators
+
+    keep = [s for s in INDICATORS if s.prefix in ("infl", "key_rate", "wages", "business", "payroll")]
+    groups = N.national_groups(_indicators(spark, root).where(F.col("source").isin(*[s.slug for s in keep])))
+    origins = panel(spark, root).select(F.col("ds").alias("origin")).distinct()
+    known = materialize(N.national_as_of(groups, origins), "national")
+    names = sorted(c for c in known.columns if c != "origin")
+    # the index of a category may only use what every window knew at its cutoff
+    index = materialize(panel_seasonal_index(panel(spark, root).where("ds <= date'2023-12-01'")), "seasonal")
+
+    def add(rows: DataFrame) -> DataFrame:
+        return N.covariates(rows, index).join(F.broadcast(known), "origin", "left")  # a row per month
+
+    return add, {"own": ["lag_1", "lag_2", "lag_3", "roll_mean_3", "roll_std_3", "roll_mean_6"], "calendar": ["month_sin", "month_cos", "seasonal_index"], "macro": names}
+
+
+def _ablation(spark: SparkSession, root: str) -> DataFrame:
+    from kronopanel.operators import ablation as A
+    from kronopanel.operators.national import feature_sets
+
+    add, blocks = _exogenous(spark, root)
+    variants = feature_sets(blocks, {"A": ["own"], "B": ["own", "calendar"], "C": ["own", "calendar", "macro"]})
+    return materialize(A.ablation_forecasts(panel(spark, root), [(f.name, f.cutoff, f.horizon) for f in _FOLDS], variants, add), "ablation")
+
+
+@query()
+def ablation_matrix(spark: SparkSession, root: str) -> DataFrame:
+    """Own history, with calendar, with national indicators: error of the same linear model on common rows (fitted: no SQL twin)."""
+    from kronopanel.operators import ablation as A
+
+    return A.ablation_matrix(_ablation(spark, root), "A").select("model", "n", *r4("mae", "delta"))
+
+
+@query()
+def block_contributions(spark: SparkSession, root: str) -> DataFrame:
+    """What each block adds, with the paired test over series and the sign test over windows (fitted: no SQL twin)."""
+    from kronopanel.operators import ablation as A
+
+    out = A.block_contributions(_ablation(spark, root), [("B", "A"), ("C", "B")])
+    return out.select("with_block", "base", "n", *r4("mae_with", "mae_base", "stat", "p"), "folds", "better", "worse", *r4("sign_p"))
+
+
+@query()
+def tuned_boosting(spark: SparkSession, root: str) -> DataFrame:
+    """Boosted trees over a grid, judged on the months before the cutoff (learned: no SQL twin)."""
+    from kronopanel.operators import ablation as A
+
+    grid = [{"trees": t, "depth": d} for t in (5, 10) for d in (2, 4)]
+    return A.tune(panel(spark, root), "2024-06-01", 3, grid, L.get("gbt")).select("candidate", "parameters", *r4("mae"), "chosen")
