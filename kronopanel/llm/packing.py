@@ -43,7 +43,7 @@ def _encoder(data: bytes):
 
 
 def token_lengths(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, n_tokens`` of every row; a NULL text has none.
+    """``doc_id, n_tokens, h`` (hash of the text) of every row; a NULL text has none.
 
     ``tokenizer`` is a rank file of a public byte-level vocabulary, read on the driver and broadcast
     (its size is that of the vocabulary).
@@ -54,9 +54,9 @@ def token_lengths(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(shared.value).encode_ordinary
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["d"], "n_tokens": [len(encode(t)) if isinstance(t, str) else 0 for t in pdf["t"]]})
+            yield pd.DataFrame({"doc_id": pdf["d"], "h": pdf["h"], "n_tokens": [len(encode(t)) if isinstance(t, str) else 0 for t in pdf["t"]]})
 
-    return documents.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInPandas(count, "doc_id long, n_tokens long")
+    return documents.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).mapInPandas(count, "doc_id long, n_tokens long, h long")
 
 
 def plan_sequences(counts: dict[int, int], capacity: int) -> pd.DataFrame:
@@ -121,14 +121,15 @@ def pack_documents(documents: DataFrame, *, capacity: int = CAPACITY, doc_id: st
     pieces = sizes.withColumn("part", part).select(
         "doc_id", (F.col("part") * capacity).alias("token_from"),
         F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - F.col("part") * capacity).alias("length"),
-        F.pmod(F.xxhash64("doc_id", "part"), F.lit(n)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64("doc_id", "part", "h"), F.lit(n)).cast("int").alias("bucket"),
     )
     pieces = materialize(pieces, "pieces")
 
     tally = materialize(pieces.where("length > 0").groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")
     histogram = {r.length: r.n for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     plan = plan_sequences(histogram, capacity)
-    assert len(plan) <= 3 * capacity * max(1, int(np.ceil(np.log2(capacity)))) + 3, "the plan outgrew its bound"
+    if len(plan) > 3 * capacity * max(1, int(np.ceil(np.log2(capacity)))) + 3:  # proven above: broadcasting more would be an error of the plan
+        raise RuntimeError("the plan outgrew its bound")
     slots = spark.createDataFrame(plan, "length long, rank_from long, rank_to long, sequence_from long, per_sequence long, base long")
 
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
