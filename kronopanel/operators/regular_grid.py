@@ -106,6 +106,14 @@ def _source_factor(v: np.ndarray, z: np.ndarray) -> np.ndarray:
     return np.linalg.solve(v.T @ v + _RIDGE * len(z) ** 0.5 * np.eye(v.shape[1]), v.T @ z)
 
 
+def _trust(p: np.ndarray, z: np.ndarray, fit: np.ndarray) -> float:
+    """How far the fit helps to tell an observed cell from its neighbours, by least squares over them: 0 not at all, 1 fully."""
+    share = (p[1:-1] - p[:-2]) / (p[2:] - p[:-2])
+    bend = lambda x: x[1:-1] - (x[:-2] * (1 - share) + x[2:] * share)
+    a, b = bend(z), bend(fit)
+    return float(np.clip(a @ b / max(b @ b, 1e-12), 0.0, 1.0)) if len(a) else 1.0
+
+
 class _Factors:
     """Period factors of all frequencies: {frequency: (periods, matrix, support)}."""
 
@@ -203,7 +211,8 @@ def regular_grid(
 
     Columns: ``series_key, frequency, period_start, value, status``.  ``status`` is 'observed'
     (value exact: the mean of the days' values, a day's value being its last loaded), 'filled'
-    (reconstructed by the factorisation) or 'unsupported' (value NULL: fewer than ``min_support``
+    (reconstructed by the factorisation, with its residuals at the neighbouring observed periods
+    carried over the gap) or 'unsupported' (value NULL: fewer than ``min_support``
     other series were observed in the period, or the series has fewer observed periods than the
     factorisation has ranks).  A series' frequency is the one most of its readings state.
 
@@ -225,7 +234,10 @@ def regular_grid(
                 out, status = np.full(len(grid), np.nan), np.full(len(grid), "unsupported", object)
                 if len(p) > RANK:
                     ok = support >= min_support
-                    out[ok] = (v @ _source_factor(v[at], z))[ok] * scale + mean
+                    fit = v @ _source_factor(v[at], z)
+                    fit *= _trust(p, z, fit[at])
+                    # what the factors leave of a source's neighbouring observed cells is carried over the gap
+                    out[ok] = (fit + np.interp(grid, p, z - fit[at]))[ok] * scale + mean
                     status[ok] = "filled"
                 out[at], status[at] = y, "observed"
                 yield pd.DataFrame({"series_key": s, "frequency": FREQUENCIES[f], "day": _starts(grid, f).astype(np.int32), "value": out, "status": status})

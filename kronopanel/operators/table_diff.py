@@ -16,9 +16,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _normalized(df: DataFrame, name: str) -> Column:
-    """NaN is no value; every number is compared as a double."""
+def _exact_type(left: DataFrame, right: DataFrame, name: str) -> T.DecimalType | None:
+    """The decimal in which both copies' numbers are exact, where a double is not wide enough."""
+    kinds = [d.schema[name].dataType for d in (left, right)]
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    if not all(isinstance(k, (*whole, T.DecimalType)) for k in kinds) or not any(isinstance(k, (T.LongType, T.DecimalType)) for k in kinds):
+        return None
+    scale = max((k.scale for k in kinds if isinstance(k, T.DecimalType)), default=0)
+    digits = max(k.precision - k.scale if isinstance(k, T.DecimalType) else 19 for k in kinds)
+    return T.DecimalType(digits + scale, scale) if digits + scale <= 38 else None
+
+
+def _normalized(df: DataFrame, name: str, exact: T.DecimalType | None) -> Column:
+    """NaN is no value; numbers are compared as doubles, long and decimal ones exactly if both copies hold such."""
     kind = df.schema[name].dataType
+    if exact is not None:
+        return F.col(f"`{name}`").cast(exact)
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return F.nanvl(F.col(f"`{name}`").cast("double"), F.lit(None).cast("double"))
     if isinstance(kind, T.NumericType):
@@ -26,8 +39,8 @@ def _normalized(df: DataFrame, name: str) -> Column:
     return F.col(f"`{name}`").cast("string")
 
 
-def _one_row_per_key(df: DataFrame, key: Sequence[str], fields: Sequence[str], side: str) -> DataFrame:
-    row = F.struct(*[_normalized(df, f).alias(f) for f in fields])
+def _one_row_per_key(df: DataFrame, key: Sequence[str], fields: Sequence[str], side: str, exact: dict) -> DataFrame:
+    row = F.struct(*[_normalized(df, f, exact[f]).alias(f) for f in fields])
     k = F.struct(*[F.col(f"`{c}`").alias(c) for c in key])
     return (
         df.select(k.alias("k"), row.alias("r"))
@@ -51,13 +64,15 @@ def diff_copies(left: DataFrame, right: DataFrame, key: Sequence[str], fields: S
     when just one is present; other columns are ignored; equal keys without a difference give no
     row, so two empty or equal tables give an empty result.
     """
-    lhs, rhs = _one_row_per_key(left, key, fields, "left"), _one_row_per_key(right, key, fields, "right")
+    exact = {f: _exact_type(left, right, f) for f in fields}
+    lhs, rhs = _one_row_per_key(left, key, fields, "left", exact), _one_row_per_key(right, key, fields, "right", exact)
     both = lhs.join(rhs, "k", "full_outer")
     in_left, in_right = F.col("left_count").isNotNull(), F.col("right_count").isNotNull()
     marks = []
     for f in fields:
         a, b = F.col(f"left_row.`{f}`"), F.col(f"right_row.`{f}`")
-        if isinstance(lhs.schema["left_row"].dataType[f].dataType, T.DoubleType) and isinstance(rhs.schema["right_row"].dataType[f].dataType, T.DoubleType):
+        kinds = [d.schema[r].dataType[f].dataType for d, r in ((lhs, "left_row"), (rhs, "right_row"))]
+        if all(isinstance(k, (T.DoubleType, T.DecimalType)) for k in kinds):
             # equal infinities have no difference to subtract
             apart = F.when(a == b, F.lit(False)).otherwise(F.abs(a - b) > tolerance)
         else:

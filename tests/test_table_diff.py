@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from kronopanel.operators.table_diff import diff_copies
 
 S = "k1 string, k2 int, x double, s string, presence string"
@@ -31,3 +33,14 @@ def test_infinite_values_and_empty_tables(spark):
     assert run(spark, [("a", 1, inf, "p", "")], [("a", 1, -inf, "p", "")])[("a", 1)][0] == "both"
     assert run(spark, [], []) == {}
     assert run(spark, [], [("a", 1, 1.0, "p", "")])[("a", 1)][0] == "right_only"
+
+
+def test_long_and_decimal_numbers_compare_exactly(spark):
+    big = 2**53
+    a = spark.createDataFrame([(1, big), (2, big), (3, None)], "k int, v long")
+    b = spark.createDataFrame([(1, big + 1), (2, big), (3, 5)], "k int, v long")
+    assert {r.k for r in diff_copies(a, b, ["k"], ["v"]).collect()} == {1, 3}
+    da, db = (d.selectExpr("k", "cast(v as decimal(30,4)) + 0.0001 as v") for d in (a, b))
+    assert {r.k for r in diff_copies(da, db, ["k"], ["v"]).collect()} == {1, 3}
+    assert {r.k for r in diff_copies(a, db, ["k"], ["v"]).collect()} == {1, 3}
+    assert {r.k for r in diff_copies(a, b.withColumn("v", F.col("v").cast("double")), ["k"], ["v"]).collect()} == {3}  # a double holds no more
