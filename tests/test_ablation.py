@@ -35,7 +35,7 @@ def test_nothing_after_the_cutoff_enters(spark):
     p = seasonal_panel(spark)
     late = p.withColumn("y", F.when(F.col("ds") > F.lit("2024-04-01").cast("date"), F.col("y") * 50).otherwise(F.col("y")))
     run = lambda d: {(r.unique_id, r.ds): r.y_hat for r in A.ablation_forecasts(d, [("f", "2024-04-01", 2)], {"A": ["lag_1"]}, lambda r: r).collect()}
-    assert run(p) == run(late)
+    assert run(p) == pytest.approx(run(late), rel=1e-9)  # sums of partitions come in any order
 
 
 def test_tuning_uses_the_months_before_the_cutoff(spark):
