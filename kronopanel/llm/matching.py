@@ -9,7 +9,7 @@ logarithms modulo a factor 1000, so that a change of unit keeps them, and keys o
 name also uses its runs of three months.
 
 A name key that more than ``max_bucket`` territories share makes no pairs by itself: its blocks are reached
-through each stem behind the key together with a run of values (a series of few runs: with single
+through each stem behind the key together with a run of six months (a series of few such runs: with single
 cells of a grid wide enough for noise), with the kind, the region, or both.  A pair without common
 figures that none of these reaches shares stem, kind and region with more than ``max_bucket`` territories,
 and its confidence, divided among them, stays below ``least``.  Value keys always count in full.
@@ -54,6 +54,7 @@ LEVELS = 115  # levels per factor 1000: about 6 % each
 CELLS = 57  # levels of single cells: two grids, half a level apart, keep values up to 6 % apart together
 SHAPE_STEP = 0.01  # step of a monthly change in a key of shapes
 SHORT = 10
+LONG_RUN = 6  # months of a run that tells the territories of one name apart
 PREFIX = (3, 4, 5)  # letters of an abbreviated name that make a key
 
 
@@ -171,15 +172,18 @@ def value_keys(category: str, months: np.ndarray, values: np.ndarray) -> np.ndar
     return minhash_keys(token, VALUE_BANDS, VALUE_ROWS, 2)
 
 
-def run_keys(category: str, months: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Keys of all runs of three consecutive months, on two shifted level grids."""
+def run_keys(category: str, months: np.ndarray, values: np.ndarray, length: int = 3) -> np.ndarray:
+    """Keys of all runs of ``length`` consecutive months, on two shifted level grids."""
     out = []
     c = np.uint64(_hash(category))
-    at = np.flatnonzero((months[2:] - months[:-2]) == 2) if len(months) > 2 else np.zeros(0, np.int64)
+    last = length - 1
+    at = np.flatnonzero((months[last:] - months[:-last]) == last) if len(months) > last else np.zeros(0, np.int64)
     for grid, shift in enumerate((0.0, 0.5)):
         lv = _levels(values, shift)
-        code = ((months[at] * 1000 + lv[at]) * 1000 + lv[at + 1]) * 1000 + lv[at + 2]
-        out.append(_mix(code.astype(np.uint64) + np.uint64(_scatter(int(c) + grid + 1))))
+        code = months[at].astype(np.uint64)
+        for k in range(length):
+            code = _mix(code * np.uint64(1009) + lv[at + k].astype(np.uint64))
+        out.append(_mix(code + np.uint64(_scatter(int(c) + grid + 1))))
     return np.concatenate(out)
 
 
@@ -300,8 +304,8 @@ def _linked_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b, cat, m, v, mo, stems in zip(pdf["b"], pdf["category"], pdf["m"], pdf["v"], pdf["mo"], pdf["stems"]):
             m, v = np.asarray(m, np.int64), np.asarray(v, float)
             _, kind, region, _ = parse_name(mo)
-            values = run_keys(cat, m, v) if cat is not None and len(m) else np.zeros(0, np.uint64)
-            if cat is not None and len(m) and len(values) < 2 * SHORT:  # too few runs (on two grids) to outlast noise
+            values = run_keys(cat, m, v, LONG_RUN) if cat is not None and len(m) else np.zeros(0, np.uint64)
+            if cat is not None and len(m) and len(values) < 2 * LONG_RUN:  # too few runs (on two grids) to outlast noise
                 values = cell_keys(cat, m, v)
             if cat is not None and len(m) >= SHORT:
                 ids.append(b), kinds.append("shape"), keys.append(shape_keys(cat, m, v))
@@ -368,7 +372,7 @@ def _crowded_value_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
         for t, cat, m, v, h in zip(pdf["t"], pdf["category"], pdf["m"], pdf["v"], pdf["stem"]):
             m, v = np.asarray(m, np.int64), np.asarray(v, float)
             if cat is not None and len(m):
-                k = np.concatenate([run_keys(cat, m, v), cell_keys(cat, m, v)])
+                k = np.concatenate([run_keys(cat, m, v, LONG_RUN), cell_keys(cat, m, v)])
                 ids.append(t), kinds.append("both"), keys.append(_pair(int(h) & 0xFFFFFFFFFFFFFFFF, k))
         yield _emit(ids, kinds, keys)
 
