@@ -184,8 +184,13 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def assign_within_groups(pairs: DataFrame, group: str, left: str, right: str, cost: str) -> DataFrame:
-    """One-to-one assignment of least total cost inside each (small) group of ambiguous keys."""
+def assign_within_groups(pairs: DataFrame, group: str, left: str, right: str, cost: str, max_side: int = 400) -> DataFrame:
+    """One-to-one assignment of least total cost inside each group of ambiguous keys.
+
+    The solve is cubic, so a group with more than ``max_side`` keys on a side is left without assignment.
+    """
+    sides = pairs.groupBy(group).agg(F.greatest(F.count_distinct(left), F.count_distinct(right)).alias("side")).where(F.col("side") <= max_side)
+    pairs = pairs.join(sides.select(group), group, "left_semi")
     kinds = dict(pairs.dtypes)
     schema = f"{group} {kinds[group]}, {left} {kinds[left]}, {right} {kinds[right]}, {cost} double"
 

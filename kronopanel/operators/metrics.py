@@ -123,6 +123,23 @@ def horizon_winners(oof: DataFrame, reference: str) -> DataFrame:
     return m.groupBy("horizon").agg(F.min_by("model", F.struct("mae", "model")).alias("winner"), F.min("mae").alias("mae"), (F.min("mae") - F.min(F.when(F.col("model") == reference, F.col("mae")))).alias("gain"))
 
 
+def horizon_coverage(oof: DataFrame) -> DataFrame:
+    """How many models and observations stand behind each horizon: the largest number of forecasts of any one model."""
+    per = oof.groupBy("horizon", "model").agg(F.count("*").alias("n"))
+    return per.groupBy("horizon").agg(F.count("*").alias("models"), F.max("n").alias("observations"))
+
+
+def horizon_leaders(old: DataFrame, new: DataFrame, reference: str) -> DataFrame:
+    """Per horizon the best model of two runs, the reference's error in both, and whether the lead changed."""
+
+    def best(oof: DataFrame, run: str) -> DataFrame:
+        m = oof.groupBy("horizon", "model").agg(mae(F.col("y"), F.col("y_hat")).alias("mae"))
+        return m.groupBy("horizon").agg(F.min_by("model", F.struct("mae", "model")).alias(f"leader_{run}"), F.min("mae").alias(f"mae_{run}"), F.min(F.when(F.col("model") == reference, F.col("mae"))).alias(f"reference_{run}"))
+
+    both = best(old, "old").join(best(new, "new"), "horizon", "full_outer")
+    return both.withColumn("leader_changed", ~F.col("leader_old").eqNullSafe(F.col("leader_new")))
+
+
 def loss_differences(oof: DataFrame, a: str, b: str) -> DataFrame:
     """Absolute-error difference of two models on their common observations: one pass, no self-join."""
     e = F.abs(F.col("y") - F.col("y_hat"))

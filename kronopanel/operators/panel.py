@@ -48,6 +48,12 @@ def series_flags(panel: DataFrame) -> DataFrame:
     return stats.crossJoin(F.broadcast(months)).select("unique_id", "n_obs", "first_ds", "last_ds", (F.col("n_obs") == F.col("months")).alias("is_complete"), (F.col("n_obs") < span).alias("has_gaps"))
 
 
+def with_admin_breaks(flags: DataFrame, breaks: DataFrame) -> DataFrame:
+    """Series flags with the latest administrative break of the series, NULL without one; ``breaks(unique_id, admin_break_at)``."""
+    last = breaks.groupBy("unique_id").agg(F.max("admin_break_at").alias("admin_break_at"))
+    return flags.join(last, "unique_id", "left")
+
+
 def contract_violations(panel: DataFrame) -> DataFrame:
     """One row per rule with the number of rows that break it; two aggregates, no collect."""
     y = F.col("y")

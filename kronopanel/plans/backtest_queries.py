@@ -317,3 +317,21 @@ def friedman_test(spark: SparkSession, root: str) -> DataFrame:
     n = ranks[0].blocks
     stat, p = M.friedman([r.mean_rank for r in ranks], n)
     return spark.createDataFrame([(len(ranks), n, stat, p, M.nemenyi_difference(len(ranks), n))], "models int, blocks long, statistic double, p double, critical_difference double").select("models", "blocks", *r4("statistic", "p", "critical_difference"))
+
+
+@query(f"WITH {OOF_SQL}, p AS (SELECT horizon, model, count(*) AS n FROM oof GROUP BY ALL) SELECT horizon, count(*) AS models, max(n) AS observations FROM p GROUP BY 1")
+def horizon_coverage(spark: SparkSession, root: str) -> DataFrame:
+    return M.horizon_coverage(oof(spark, root))
+
+
+_RUN_MAE = "SELECT horizon, model, avg(abs(y - y_hat)) AS mae FROM (SELECT DISTINCT * FROM {0} WHERE y IS NOT NULL AND y_hat IS NOT NULL AND NOT isnan(y) AND NOT isnan(y_hat)) GROUP BY ALL"
+_LEAD = "SELECT horizon, arg_min(model, (mae, model)) AS leader_{0}, min(mae) AS mae_{0}, min(mae) FILTER (model = 'ets') AS reference_{0} FROM {0}m GROUP BY 1"
+
+
+@query(f"""WITH oldm AS ({_RUN_MAE.format("oof_old")}), newm AS ({_RUN_MAE.format("oof_new")}), a AS ({_LEAD.format("old")}), b AS ({_LEAD.format("new")})
+SELECT horizon, leader_old, round(mae_old, 4) AS mae_old, round(reference_old, 4) AS reference_old, leader_new, round(mae_new, 4) AS mae_new, round(reference_new, 4) AS reference_new, leader_old IS DISTINCT FROM leader_new AS leader_changed FROM a FULL JOIN b USING (horizon)""")
+def horizon_leaders(spark: SparkSession, root: str) -> DataFrame:
+    """Who leads each horizon in either run."""
+    run = lambda name: table(spark, root, name).where("y is not null and y_hat is not null and not isnan(y) and not isnan(y_hat)").dropDuplicates()
+    out = M.horizon_leaders(run("oof_old"), run("oof_new"), "ets")
+    return out.select("horizon", "leader_old", *r4("mae_old", "reference_old"), "leader_new", *r4("mae_new", "reference_new"), "leader_changed")

@@ -119,11 +119,10 @@ def panel_from_export(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def ambiguous_assignment(spark: SparkSession, root: str) -> DataFrame:
-    """Nation by nation, customers' segments assigned one-to-one to suppliers at least total distance (iterative: no SQL twin)."""
-    c = table(spark, root, "customer").groupBy(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")).agg(F.avg("c_acctbal").alias("a"))
-    s = table(spark, root, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.avg("o_totalprice").alias("b"))
-    pairs = c.crossJoin(F.broadcast(s)).select("nation", "segment", "priority", F.abs(F.col("a") * 30 - F.col("b")).alias("cost"))  # five priorities
-    return E.assign_within_groups(pairs, "nation", "segment", "priority", "cost").withColumn("cost", F.round("cost", 4))
+    """Exported series of names that several territories share, grouped one to one around their totals (assignment: no SQL twin)."""
+    blocks, shares = _blocks(spark, root), _shares(spark, root)
+    shared = blocks.where("category = 'total'").groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    return M.group_blocks(blocks.where("size(v) > 0").join(shared, "name", "left_semi"), shares, "total")
 
 
 _POWER = '{"header": {"fill_value": -999.0}, "properties": {"parameter": {"T2M": {"202401": -5.5, "202402": -999.0, "202413": 3.0}, "PRECTOTCORR": {"202401": 1.25, "202402": 2.0, "202413": 9.0}}}}'
@@ -188,17 +187,25 @@ def _total_places(spark: SparkSession, root: str) -> DataFrame:
     return _places(spark, root).where("list = 'total'")
 
 
-def _mapping(spark: SparkSession, root: str) -> DataFrame:
+def _blocks(spark: SparkSession, root: str) -> DataFrame:
+    """Exported series: block, name, category and arrays of months and positive values."""
     raw = table(spark, root, "raw_blocks").where("block_id is not null and mo is not null").withColumn("value", F.nanvl("value", F.lit(None).cast("double"))).withColumn("ds", F.trunc(flexible_date(F.col("period")), "MM"))
     cells = raw.where("value > 0 and ds is not null").groupBy("block_id", "ds").agg(F.min_by("value", "row_no").alias("v"))
     arrays = cells.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct((F.year("ds") * 12 + F.month("ds")).alias("m"), "v"))).alias("c"))
     heads = raw.groupBy("block_id").agg(F.min_by("mo", "row_no").alias("name"), F.min_by("category_15", "row_no").alias("category"))
-    blocks = heads.join(arrays, "block_id", "left").select(F.col("block_id").alias("block"), "name", "category", F.coalesce("c.m", F.array().cast("array<int>")).alias("m"), F.coalesce("c.v", F.array().cast("array<double>")).alias("v"))
-    resolved = M.resolve_regions(_total_places(spark, root), _known_names(spark, root), federal=FEDERAL)
+    return heads.join(arrays, "block_id", "left").select(F.col("block_id").alias("block"), squash_name(F.col("name")).alias("name"), "category", F.coalesce("c.m", F.array().cast("array<int>")).alias("m"), F.coalesce("c.v", F.array().cast("array<double>")).alias("v"))
+
+
+def _shares(spark: SparkSession, root: str) -> DataFrame:
+    """Usual log share of each category in its territory's total."""
     p = panel(spark, root)
     whole = p.where("category = 'total'").select("territory_id", "ds", F.col("y").alias("whole"))
-    shares = p.join(whole, ["territory_id", "ds"]).where("y > 0 and whole > 0").groupBy("category").agg(F.median(F.ln(F.col("y") / F.col("whole"))).alias("share"))
-    return M.build_mapping(blocks, resolved, shares, "total")
+    return p.join(whole, ["territory_id", "ds"]).where("y > 0 and whole > 0").groupBy("category").agg(F.median(F.ln(F.col("y") / F.col("whole"))).alias("share"))
+
+
+def _mapping(spark: SparkSession, root: str) -> DataFrame:
+    resolved = M.resolve_regions(_total_places(spark, root), _known_names(spark, root), federal=FEDERAL)
+    return M.build_mapping(_blocks(spark, root), resolved, _shares(spark, root), "total")
 
 
 @query()
@@ -293,3 +300,18 @@ def events_by_region(spark: SparkSession, root: str) -> DataFrame:
     """Events under the regions of the reference; unknown codes stay without region."""
     known = table(spark, root, "oktmo_reference").where("region_code is not null").select(F.col("region_code").alias("code"), F.col("region_code").alias("region")).distinct()
     return M.map_regions(table(spark, root, "event_calendar").select("event_id", F.col("region_code").alias("code")), "code", known).select("event_id", "code", "region_code")
+
+
+@query(f"""WITH {PANEL_SQL}, {_ACTS}, side AS (SELECT predecessor AS name, effective FROM acts WHERE relation IN ('continuation', 'merge') UNION ALL SELECT successor, effective FROM acts WHERE relation IN ('continuation', 'merge')),
+t AS (SELECT DISTINCT territory_id, {_SQUASH.format("municipal_district_name")} AS name FROM oktmo_reference WHERE municipal_district_name IS NOT NULL), b AS (SELECT territory_id, max(effective) AS admin_break_at FROM side JOIN t USING (name) GROUP BY 1)
+SELECT unique_id, count(*) AS n_obs, any_value(admin_break_at) AS admin_break_at FROM panel LEFT JOIN b USING (territory_id) GROUP BY 1""")
+def panel_admin_breaks(spark: SparkSession, root: str) -> DataFrame:
+    """Series with the last reorganisation that names their territory."""
+    from kronopanel.operators.panel import series_flags, with_admin_breaks
+
+    p = panel(spark, root)
+    acts = _acts(spark, root).where("relation in ('continuation', 'merge')")
+    side = acts.select(F.col("predecessor").alias("name"), "effective").unionByName(acts.select(F.col("successor").alias("name"), "effective"))
+    t = table(spark, root, "oktmo_reference").where("municipal_district_name is not null").select("territory_id", squash_name(F.col("municipal_district_name")).alias("name")).distinct()
+    breaks = side.join(t, "name").join(p.select("unique_id", "territory_id").distinct(), "territory_id").select("unique_id", F.col("effective").alias("admin_break_at"))
+    return with_admin_breaks(series_flags(p), breaks).select("unique_id", "n_obs", "admin_break_at")
