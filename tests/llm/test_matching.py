@@ -112,3 +112,20 @@ def test_refits_on_other_draws_agree():
     clear = (value != 2) & (name != 2)  # half the chance agreements here are another name's: without a name they decide nothing
     assert (np.stack(answers) == answers[0]).all(axis=0)[clear].mean() > 0.995
     assert answers[0][(name == 1) & (value == 0)].all() and not answers[0][name == 3].any() and not answers[0][value == 1].any()
+
+
+def test_nulls_empty_tables_and_repeated_rows(spark):
+    raw, ref, off, true = world(40)
+    r, f, o = spark.createDataFrame(raw, RAW), spark.createDataFrame(ref, REF), spark.createDataFrame(off, OFF)
+    once = {(x.block_id, x.territory_id) for x in match_blocks(r, f, o).collect()}
+    twice = match_blocks(r.unionByName(r), f.unionByName(f), o.unionByName(o)).collect()
+    assert {(x.block_id, x.territory_id) for x in twice} == once and len(twice) == len(once)
+    # without any official figures names alone decide, and never for a shared one
+    named = {x.block_id: x.territory_id for x in match_blocks(r, f, o.limit(0)).collect()}
+    assert named and all(t % 8 for t in named.values())
+    empty = [(k, None, None, None, None, None, None, None) for k in range(3)] + [(9, 5, None, None, None, float("nan"), None, None), (10, 6, "", "", "", -1.0, "", "")]
+    assert match_blocks(spark.createDataFrame(empty, RAW), f, o).count() == 0
+    blank = spark.createDataFrame([(None,) * 9, (1, *(None,) * 8)], REF)
+    assert match_blocks(r, blank, o).count() >= 0 and match_blocks(r, blank, o.limit(0)).count() == 0
+    long = spark.createDataFrame([(10**6 + k, 10**6, "Барветгорский муниципальный округ " * 2000, "total", f"2023-{k + 1:02d}", 5.0, None, None) for k in range(12)], RAW)
+    assert match_blocks(long, f, o).count() <= 1
