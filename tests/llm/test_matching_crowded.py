@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from kronopanel.llm import matching as M
@@ -30,3 +32,26 @@ def test_crowded_keys_reach_the_territory_of_every_block(spark):
     series = M._series(figures, ["t"], "category", M._month_of("date"), F.col("value"), F.col("value"))
     got = {(r.b, r.t) for r in M.candidate_pairs(blocks, M._with_kin(M._territory_rows(reference)), series, 3, 0).collect()}
     assert want <= got, sorted(want - got)[:20]
+
+
+def test_keys_go_out_in_bounded_frames_and_values_once_for_all_stems(spark, monkeypatch):
+    """A batch of many series is never one frame; a block behind whose key stand many stems writes its values once."""
+    months, values = np.arange(24_000, 24_024), np.linspace(900.0, 1500.0, 24)
+    batch = pd.DataFrame({"t": range(5000), "category": "total", "m": [months] * 5000, "v": [values] * 5000})
+    frames = [len(f) for f in M._territory_value_keys(iter([batch]))]
+    assert max(frames) <= M.FRAME + 1000 and sum(frames) == 5000 * (M.VALUE_BANDS + 2 * 22 + len(M.shape_keys("total", months, values)))
+
+    written = {}
+    keep = lambda df, label: written.setdefault(label, df.localCheckpoint())
+    monkeypatch.setattr(M, "materialize", keep)
+    vowels = "аеиоуы"
+    ref = [(k * 6 + j, f"{k % 7 + 10}000000", f"Зареч{x}р{c}н муниципальный район", str(k % 7 + 10)) for k, c in enumerate("бвгджзклмпрстфхц") for j, x in enumerate(vowels)]
+    reference = spark.createDataFrame(ref, "territory_id int, oktmo string, municipal_district_name string, region_code string").withColumns({"municipal_district_name_short": F.lit(None).cast("string"), "municipal_district_type": F.lit("x")})
+    month = lambda k: f"{2023 + k // 12}-{k % 12 + 1:02d}"
+    off = [(month(k), r[0], "total", 1000.0 * (1 + r[0] % 5) + 37 * k * (1 + r[0] % 3)) for r in ref for k in range(24)]
+    raw = [(t * 24 + k, t, "Зареч. м.р-н", "total", month(k), 1000.0 * (1 + t % 5) + 37 * k * (1 + t % 3)) for t in (7, 40, 90) for k in range(24)]
+    blocks = M._block_rows(spark.createDataFrame(raw, "row_no long, block_id long, mo string, category_15 string, period string, value double"))
+    series = M._series(spark.createDataFrame(off, "date string, t long, category string, value double"), ["t"], "category", M._month_of("date"), F.col("value"), F.col("value"))
+    got = {(r.b, r.t) for r in M.candidate_pairs(blocks, M._with_kin(M._territory_rows(reference)), series, 3, 0).collect()}
+    assert {(t, t) for t in (7, 40, 90)} <= got
+    assert written["links"].count() >= 3 * 90 and written["linked-keys"].count() <= 3 * (24 * 2 + 42)
