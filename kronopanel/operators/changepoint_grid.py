@@ -346,3 +346,10 @@ def calibrated_counts(counts: DataFrame) -> DataFrame:
     first = _scored(counts.where("half = 0"))
     best = first.groupBy("detector").agg(F.max_by("parameter", F.struct("f1", -F.col("parameter"))).alias("parameter"), F.max("f1").alias("f1_calibration"))
     return _scored(counts.where("half = 1")).join(F.broadcast(best), ["detector", "parameter"])  # a row per detector
+
+
+def delay_counts(counts: DataFrame) -> DataFrame:
+    """``changepoint.delay_curve`` from counts."""
+    both = counts.groupBy("detector", "parameter").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    late = both.select("detector", "parameter", F.try_divide("delay", "detected").alias("mean_delay"), F.when(F.col("n_true") > 0, F.col("detected")).alias("detected"))
+    return _scored(both).join(late, ["detector", "parameter"]).select("detector", "parameter", "false_per_year", "recall", "mean_delay", "detected")

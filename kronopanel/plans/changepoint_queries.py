@@ -243,14 +243,6 @@ def adwin_alarms(spark: SparkSession, root: str) -> DataFrame:
     return C.detect(_raw_arrays(spark, root), "adwin", 0.05).select("unique_id", F.explode("alarms").alias("t"))
 
 
-def _grid(spark: SparkSession, root: str) -> DataFrame:
-    from kronopanel.session import materialize
-
-    on = [("residual", _arrays(spark, root).select("unique_id", "xs"), ONLINE_GRID), ("raw", _raw_arrays(spark, root), ONLINE_GRID), ("noise units", _noise_arrays(spark, root), OFFLINE_GRID)]
-    parts = [C.grid_alarms(a, g).withColumn("detector", F.concat_ws("/", "detector", F.lit(name))) for name, a, g in on]
-    return materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]), "grid-alarms")
-
-
 def _grid_counts(spark: SparkSession, root: str) -> DataFrame:
     """Counts of every detector on its streams: the bench is read once, the streams are made series by series."""
     from kronopanel.session import materialize
@@ -270,7 +262,7 @@ def calibrated_detectors(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def delay_curve(spark: SparkSession, root: str) -> DataFrame:
     """Delay against false alarms for every detector and parameter (iterative detectors: no SQL twin)."""
-    return C.delay_curve(_grid(spark, root), _labels(spark, root)).select("detector", "parameter", *r4("false_per_year", "recall", "mean_delay"), "detected")
+    return G.delay_counts(_grid_counts(spark, root)).select("detector", "parameter", *r4("false_per_year", "recall", "mean_delay"), "detected")
 
 
 _LIVE = f"""WITH RECURSIVE {OOF_SQL}, f AS (SELECT * FROM (SELECT * FROM oof WHERE model = 'ets' AND horizon <= 3) QUALIFY row_number() OVER (PARTITION BY unique_id, ds, model ORDER BY horizon, cutoff DESC, fold) = 1),

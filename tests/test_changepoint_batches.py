@@ -81,6 +81,16 @@ def test_streams_and_calibration_from_counts(spark):
     assert len(want) == 8 and got == want
 
 
+def test_delay_curve_from_counts(spark):
+    _, alarms, labels, series, counts = _old_and_new(spark)
+    want = {(r.detector, r.parameter): r.asDict() for r in C.delay_curve(alarms, labels).collect()}
+    got = {(r.detector, r.parameter): r.asDict() for r in G.delay_counts(counts).collect()}
+    assert len(want) == 11 and got == want
+    unbroken = G.grid_counts(series.where("tau < 0"), {"raw": {"cusum": (3,)}})
+    assert [(r.recall, r.mean_delay, r.detected) for r in G.delay_counts(unbroken).collect()] == [(None, None, None)]
+    assert G.delay_counts(G.grid_counts(series.where("false"), {"raw": {"cusum": (3,)}})).collect() == []
+
+
 def test_rounding_is_that_of_the_engine(spark):
     x = np.array([0.0078125, -0.0078125, 1.0000005, 2.5e-7, 1e-9, 0.1234565, 5e11 + 0.3, 123456789012.123456, 1e300, 0.0, -1.4999995, 3.1])
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
