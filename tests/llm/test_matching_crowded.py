@@ -55,3 +55,17 @@ def test_keys_go_out_in_bounded_frames_and_values_once_for_all_stems(spark, monk
     got = {(r.b, r.t) for r in M.candidate_pairs(blocks, M._with_kin(M._territory_rows(reference)), series, 3, 0).collect()}
     assert {(t, t) for t in (7, 40, 90)} <= got
     assert written["links"].count() >= 3 * 90 and written["linked-keys"].count() <= 3 * (24 * 2 + 42)
+
+
+def test_pairs_are_scored_in_slices_of_bounded_months():
+    """A stray year widens the time axis to thousands of months; medians and shares are those of the common months."""
+    first, months = 12 * 1900, 24_000
+    m, v = np.array([24_276, 24_277, 24_290]), np.array([100.0, 110.0, 120.0])
+    pair = {"b": 1, "t": 2, "wide": True, "mo": "Горский район", "bm": m, "bv": v, "tm": m[1:], "tv": v[1:] * [1.0, 1.04], "names": ["Горский район"], "regions": ["10"], "kin": [{"k": 1, "rk": 1, "s": 1, "rs": 1}]}
+    bare = pair | {"b": 3, "tm": None, "tv": None}
+    frames = list(M._features(first, months)(iter([pd.DataFrame([pair, bare] * 50)])))
+    assert max(map(len, frames)) * months <= M.CELLS_HELD and sum(map(len, frames)) == 100
+    out = pd.concat(frames)
+    assert set(out.months[out.b == 1]) == {2} and set(out.months[out.b == 3]) == {0}
+    assert np.allclose(out.away[out.b == 1], np.log(1.04) / 2) and set(out.away[out.b == 3]) == {1.0}
+    assert set(out[f"f{M.AGREE_SHORT}"][out.b == 1]) == {1.0} and set(out[f"f{M.NONE}"][out.b == 3]) == {1.0}
